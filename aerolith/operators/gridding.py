@@ -1,24 +1,20 @@
 """Irregular readings onto a regular grid: an as-of merge, from both sides, of grid times and readings.
 
-Per source, readings are first folded into their periods (map-side combined, so a source with a third of all rows is
-spread over its periods), then each filled period looks at its neighbours. That look is a window over blocks of
-``BLOCK`` periods; what lies beyond a block's edge comes from a window over one summary row per block. No task ever
-holds a whole source.
+Readings are shuffled once, by source and block of ``BLOCK`` periods, and folded into their periods; each filled period then looks at its
+neighbours in a window over its block, and the ends of blocks in a window over the two ends of each. No task ever holds a whole source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Periods in one window partition.
 BLOCK = 4096
 
 
-def _before(name: str, block_name: str, w: Window, nxt: bool) -> Column:
-    return F.coalesce((F.lead if nxt else F.lag)(name).over(w), F.col(block_name))
-
-
 def regular_grid(
     readings: DataFrame,
     sources: DataFrame,
@@ -45,21 +41,21 @@ def regular_grid(
     """
     steps = sources.select(F.col(source).alias("g_src"), F.col(step_minutes).cast("long").alias("g_step")).where("g_src is not null and g_step > 0").groupBy("g_src").agg(F.min("g_step").alias("g_step"))
     r = readings.select(F.col(source).alias("g_src"), F.col(minute).cast("long").alias("g_t"), F.col(value).cast("double").alias("g_v")).where("g_src is not null and g_t is not null and g_v is not null and not isnan(g_v)")
-    r = r.join(steps, "g_src").withColumn("g_slot", F.floor(F.col("g_t") / F.col("g_step")))
-    at = F.struct("g_t", "g_v")
-    p = r.groupBy("g_src", "g_slot", "g_step").agg(F.min(at).alias("g_first"), F.max(at).alias("g_last"), F.count("*").alias("n_readings"))
-    p = p.withColumn("g_block", F.floor(F.col("g_slot") / BLOCK))
+    r = r.join(steps, "g_src").withColumn("g_slot", F.floor(F.col("g_t") / F.col("g_step"))).withColumn("g_block", F.floor(F.col("g_slot") / BLOCK))
+    # One shuffle, by source and block, serves the folding into periods and the look at neighbours.
+    at, w = F.struct("g_t", "g_v"), Window.partitionBy("g_src", "g_block").orderBy("g_slot")
+    p = r.repartition("g_src", "g_block").groupBy("g_src", "g_block", "g_slot", "g_step").agg(F.min(at).alias("g_first"), F.max(at).alias("g_last"), F.count("*").alias("n_readings"))
+    p = cut(p.withColumns({"g_before": F.lag("g_last").over(w), "g_next": F.lead(F.struct("g_slot", "g_first")).over(w)}))
 
-    key = F.struct("g_slot", "g_first", "g_last")
-    edges = p.groupBy("g_src", "g_block").agg(F.min(key).alias("g_head"), F.max(key).alias("g_tail"))
-    per_source = Window.partitionBy("g_src").orderBy("g_block")
-    edges = edges.select("g_src", "g_block", F.lag("g_tail").over(per_source).alias("g_prev_block"), F.lead("g_head").over(per_source).alias("g_next_block"))
-
-    w = Window.partitionBy("g_src", "g_block").orderBy("g_slot")
-    p = p.join(edges, ["g_src", "g_block"]).withColumn("g_self", key)
-    p = p.withColumns({"g_prev": _before("g_self", "g_prev_block", w, False), "g_next": _before("g_self", "g_next_block", w, True)})
+    # The ends of blocks, two rows each at most, look across to the ends of the blocks beside them.
+    per_source = Window.partitionBy("g_src").orderBy("g_slot")
+    is_end = F.col("g_before").isNull() | F.col("g_next").isNull()
+    ends = p.where(is_end).withColumns(
+        {"g_before": F.coalesce("g_before", F.lag("g_last").over(per_source)), "g_next": F.coalesce("g_next", F.lead(F.struct("g_slot", "g_first")).over(per_source))}
+    )
+    p = p.where(~is_end).unionByName(ends)
     until = F.coalesce(F.col("g_next.g_slot") - 1, F.col("g_slot"))
-    g = p.select("g_src", "g_slot", "g_step", "g_first", "g_last", "n_readings", F.col("g_prev.g_last").alias("g_before"), F.col("g_next.g_first").alias("g_after"), F.explode(F.sequence("g_slot", until)).alias("g_at"))
+    g = p.select("g_src", "g_slot", "g_step", "g_first", "g_last", "n_readings", "g_before", F.col("g_next.g_first").alias("g_after"), F.explode(F.sequence("g_slot", until)).alias("g_at"))
 
     own = F.col("g_at") == F.col("g_slot")
     start = F.col("g_at") * F.col("g_step")
