@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.unitgrammar import QUANTITY_NAMES, read_note
+from ..session import cut
 
 #: Factors to J/cm² of an hour: J/cm², W/m² (or Wh/m²), kJ/m², MJ/m².
 ENERGY = (1.0, 0.36, 0.1, 100.0)
@@ -42,10 +43,12 @@ def minute_of(ts: str) -> Column:
 
 
 def _nearest(value: Column, factors: tuple[float, ...], expected: Column | float) -> Column:
-    """The factor that brings ``value`` nearest to ``expected``, in logarithms."""
-    logged = F.ln(expected if isinstance(expected, Column) else F.lit(expected))
-    off = lambda f: F.abs(F.ln(value * f) - logged)
-    return F.least(*[F.struct(off(f).alias("off"), F.lit(f).alias("f")) for f in factors])["f"]
+    """The factor that brings ``value`` nearest to ``expected``, in logarithms: a comparison with the geometric means between factors."""
+    order = sorted(factors)
+    out = F.lit(order[-1])
+    for small, great in zip(order[-2::-1], order[:0:-1], strict=True):
+        out = F.when(value * math.sqrt(small * great) > expected, small).otherwise(out)
+    return F.when((value > 0) & ((expected if isinstance(expected, Column) else F.lit(expected)) > 0), out)
 
 
 def _present(c: str) -> Column:
@@ -114,6 +117,7 @@ def resolve_units(readings: DataFrame, feeds: DataFrame, keep: tuple[str, ...] =
         .when((F.col("note.N") == 0.8) & (seen < 100), 0.8)
         .otherwise(1.0)
     )
+    # A table of its own, so that its size is known: Spark broadcasts it only while it is small.
     feed_units = judged.select(
         F.col("feed").alias("u_feed"),
         F.coalesce(_won("glo", ENERGY), F.col("note.GLO"), F.when(F.col("glo_max") > 0, by_size), F.lit(1.0)).alias("u_glo"),
@@ -121,28 +125,27 @@ def resolve_units(readings: DataFrame, feeds: DataFrame, keep: tuple[str, ...] =
         F.coalesce(sky, F.lit(1.0)).alias("u_n"),
         F.col("note.PSTAT").alias("u_pstat"),
     )
+    feed_units = cut(feed_units.coalesce(8))
 
     # Each row.
     x = fed(r).join(feed_units, F.col("feed") == F.col("u_feed"), "left").withColumn("said", F.when(F.col("remark").isNotNull(), note_factors("remark")))
-    ratio = F.ln(F.col("GLO")) - F.ln(parts * PARTS)
     glo_number = F.when((parts >= PARTS_FROM) & (F.col("GLO") > 0), _nearest(F.col("GLO"), ENERGY, parts * PARTS))
-    glo_number = F.when(F.abs(ratio + F.ln(glo_number)) < 0.3, glo_number)
+    glo_number = F.when((F.col("GLO") * glo_number).between(parts * (PARTS / 1.35), parts * (PARTS * 1.35)), glo_number)
     x = x.withColumn("GLO_factor", F.coalesce("said.GLO", glo_number, "u_glo"))
 
     v = F.col("INFRAR")
-    fits = lambda c: F.abs(F.ln(v * c / INFRARED)) < INFRARED_OFF
+    fits = lambda c, off=INFRARED_OFF: (v * c).between(INFRARED * math.exp(-off), INFRARED * math.exp(off))
     ir_said, ir_feed = F.col("said.INFRAR"), F.col("u_infrar")
     x = x.withColumn("INFRAR_missing", ~_present("INFRAR") | (v <= 0) | v.isin(9999.0, 99999.0))
     x = x.withColumn("INFRAR_factor", F.when(F.col("INFRAR_missing"), F.coalesce(ir_said, ir_feed)).when(ir_said.isNotNull(), ir_said).when(fits(ir_feed), ir_feed).otherwise(_nearest(v, ENERGY, INFRARED)))
-    x = x.withColumn("INFRAR_missing", F.col("INFRAR_missing") | (F.abs(F.ln(v * F.col("INFRAR_factor") / INFRARED)) > 1.6) | ((v == 999) & ~fits(F.col("INFRAR_factor"))))
+    x = x.withColumn("INFRAR_missing", F.col("INFRAR_missing") | ~fits(F.col("INFRAR_factor"), 1.6) | ((v == 999) & ~fits(F.col("INFRAR_factor"))))
 
     p = F.col("PSTAT")
     expected = 1013.25 * F.pow(1 - 2.25577e-5 * F.least(F.col("ALTI"), F.lit(9000.0)), 5.25588)
     low_unknown = F.coalesce("said.PSTAT", F.when(F.col("u_pstat").isin(1.33322368, 1.0), F.col("u_pstat")), F.lit(1.0))
     by_range = F.when(p > 4000, 0.01).when(p > 825, 1.0).when(p > 300, low_unknown).when(p > 38, 10.0).otherwise(33.86389)
     by_altitude = F.when(F.col("ALTI").isNotNull() & ~F.isnan("ALTI"), _nearest(p, PRESSURE, expected))
-    off = F.abs(F.ln(p * by_altitude) - F.ln(expected))
-    x = x.withColumn("PSTAT_factor", F.when(p > 0, F.coalesce(F.when(off < 0.12, by_altitude), "said.PSTAT", by_range)).otherwise(1.0)).withColumn("PSTAT_missing", ~_present("PSTAT"))
+    x = x.withColumn("PSTAT_factor", F.when(p > 0, F.coalesce(F.when((p * by_altitude).between(expected / 1.13, expected * 1.13), by_altitude), "said.PSTAT", by_range)).otherwise(1.0)).withColumn("PSTAT_missing", ~_present("PSTAT"))
 
     n_said, n_feed = F.col("said.N"), F.col("u_n")
     most = lambda c: F.when(c == 8.0, 1.0).when(c == 0.08, 100.0).when(c == 0.8, 10.0).otherwise(8.0)
