@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.tables import table
+from .encoding import encode
 from .quantiles import digests, merge, percentiles
 
 #: The value that stands for none in rasters.
@@ -30,5 +31,10 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("site_id", "day", "field", "n", *[F.col("percentiles")[i].alias(f"p{round(s * 100):02d}") for i, s in enumerate(SHARES)], "rank_bound")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles,)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as token ids of the 50k byte-level vocabulary."""
+    return encode(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p7_ids)}
 ORACLES: dict[str, str] = {}
