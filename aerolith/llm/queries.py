@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from ..sources.tables import table
 from .encoding import encode
+from .leaks import find_leaks
 from .quantiles import digests, merge, percentiles
 
 #: The value that stands for none in rasters.
@@ -36,5 +37,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p7_ids)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation items and the documents that hold ten successive words of them."""
+    items = table(spark, folder, "eval_items", "item_id", "passage", "question")
+    return find_leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", ("passage", "question"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p7_ids, p8_found)}
 ORACLES: dict[str, str] = {}
