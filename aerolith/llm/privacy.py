@@ -1,0 +1,333 @@
+"""Personal information in free text, found by a semi-Markov conditional random field over whole spans.
+
+A text's candidate segments (emails, also disguised; phone numbers; national person numbers; street addresses; person names, each in every
+plausible extent) are scored by weights over features of the whole span and its surroundings. A segmentation is a set of candidates that do not
+overlap; its score is the sum of theirs, and characters outside cost nothing. Dynamic programming over the candidates, whose length is bounded, yields the best
+segmentation: boundaries and types are chosen jointly, so a name inside a street or an email loses to it. The weights are fitted by
+maximum likelihood (forward-backward over the same lattice) to labelled sentences that ``privacy_training`` composes.
+"""
+
+from __future__ import annotations
+
+import bisect
+import math
+import unicodedata
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("email", "phone", "id_number", "address", "name")
+
+# Words of the grammar of addresses and names.
+GIVEN = frozenset(
+    "adam adrien agathe agnes alain albert alessandro alexandre alice alvaro ana andrea andrew angela anna anne anneliese antoine antonio arthur aurelien barbara bastien beatrice begona "
+    "benoit bjorn callum camille carlos carmen caroline catherine charles charlotte chloe christian claire clemence daniel david desmond diego dieter edward eleanor elena elisabeth elodie "
+    "emily emma erik etienne eva fabien fatima fiona francois friedrich gareth gaspard george georg gilles giulia hannah hans harriet heike helene henri hugo imogen ines inigo ines isabel isabelle "
+    "jack jacques james jan jean jean-baptiste jean-pierre joaquin johann john jorge jose juan jules julia julie jurgen karin karl kathe katherine laura laurent lea leo lorenz loic louis luc lucas "
+    "lucia lucie luis luisa maelle marcus maria marie marie-laure marisol mark markus marta martin mary matthias mehdi mia michael michel miguel monique nadia nathan nicolas nigel noemie nuria oliver olivier "
+    "oscar pablo patrick paul pedro peter philippe pierre priya rachel raphael rodrigo romain rowan ruth sabine samuel sarah sebastian simon siobhan sofia solene sophie stefan susan sylvie tabitha "
+    "thibault thomas tobias tomas ursula ute valerie victor vincent william xavier ximena yannick yves zoe".split()
+)
+TITLES = frozenset("mr mrs ms miss mme madame mlle monsieur frau herr dr sr sra srta señor señora don doña sig signora prof".split())
+PLACES = frozenset(
+    "rue avenue boulevard bd place square allée impasse chemin quai route cours salle école collège lycée scolaire groupe gymnase stade parc pont tour résidence hôpital street road lane hall school college park "
+    "bridge sonde anémomètre capteur station calle plaza avenida escuela schule halle saal platz straße brücke via piazza".split()
+)
+_CAP = r"(?:\p{Lu}[\p{L}\p{M}'’]*(?:-\p{Lu}[\p{L}\p{M}'’]*)*)"
+_PART = r"(?:(?:[Dd]e la|DE LA|[Dd]e|DE|[Dd]u|DU|[Dd]el|DEL|[Vv]on|VON|[Vv]an|VAN|[Vv]an der|[Ll]e|LE|[Ll]a|LA|[Nn][íi]|N[ÍI]|[Nn]í|NÍ|[Mm]ac|[Dd]i|DI|[Dd]a|DA|[Dd]os|DOS|[Zz]u|ZU) )"
+_SP = r"[   ]"
+
+_AT = rf"(?:{_SP}?@{_SP}?|{_SP}?[\(\[](?:at|AT|arobase|arroba|chiocciola)[\)\]]{_SP}?|{_SP}(?:AT|at|arobase|arroba){_SP})"
+_DOT = rf"(?:\.|{_SP}?[\(\[](?:dot|DOT|point|punto|punkt)[\)\]]{_SP}?|{_SP}(?:DOT|dot|point|punto|punkt){_SP})"
+_EMAIL = regex.compile(rf"(?<![\w.+\-@])[\p{{L}}\d][\w.+\-]*{_AT}[\p{{L}}\d][\p{{L}}\d\-]*(?:{_DOT}[\p{{L}}\d\-]+)+(?![\w@])")
+
+_S = r"([ .\-  ‑]?)"
+_PHONES = {
+    "fr": rf"0[1-9]{_S}\d\d(?:\1\d\d){{3}}",
+    "fr+": rf"(?:\+33|0033){_S}(?:\(0\){_S})?[1-9]{_S}\d\d(?:\3\d\d){{3}}",
+    "uk": r"07\d{3}[ \-]?\d{3}[ \-]?\d{3}|0(?:2\d|1\d1|11\d)[ \-]\d{3,4}[ \-]\d{4}|01\d{3}[ \-]\d{5,6}|020\d{8}|\(0\d{2,4}\)[ ]?\d{3,4}[ ]?\d{4}",
+    "uk+": r"(?:\+44|0044)[ \-]?(?:\(0\)[ \-]?)?\d{2,4}[ \-]?\d{3,4}[ \-]?\d{3,4}",
+    "us": r"(?:\+?1[ .\-])?(?:\(\d{3}\)[ ]?|\d{3}[.\-])\d{3}[.\-]\d{4}",
+    "de": r"\(0\d{2,4}\)[ ]?\d{4,8}(?:[ \-]\d{1,4})?|0\d{2,4}/\d{4,8}(?:-\d{1,4})?",
+    "de+": r"(?:\+49|0049)[ \-]?(?:\(0\)[ \-]?)?\d{2,4}[ \-/]?\d{4,8}(?:[ \-]\d{1,4})?",
+    "es+": r"(?:\+34|0034)[ .\-]?[6789]\d{2}(?:[ .\-]?\d{3}){2}|(?:\+34|0034)[ .\-]?[6789]\d{2}(?:[ .\-]?\d{2}){3}",
+    "int+": r"\+\d{1,3}(?:[ .\-]?\d{1,4}){3,5}",
+}
+_PHONE = {k: regex.compile(rf"(?<![\w+])(?<!\d[ .,/\- ])(?:{v})(?!\d)") for k, v in _PHONES.items()}
+_NIR = regex.compile(r"(?<!\d)[12]([ .\- ]?)\d\d\1\d\d\1(?:\d\d|2[AB])\1\d{3}\1\d{3}[ ./\- ]?\d\d(?!\d)")
+_DNI = regex.compile(r"(?<![\w.])(?:\d{8}|\d\d\.\d{3}\.\d{3}|[XYZ]-?\d{7})[ \-]?[A-Z](?!\w)")
+_SSN = regex.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
+_NINO = regex.compile(r"(?<!\w)[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)")
+_TAX = regex.compile(r"(?<![\d+])(?:\d{2} \d{3} \d{3} \d{3}|\d{11})(?!\d)")
+
+_NUM = r"\d{1,4}(?:(?:[ ]?(?i:bis|ter|quater)|[ ]?[A-Za-z])(?![\p{L}\d'’]))?"
+_FR_TYPE = r"(?i:rue|avenue|av\.|impasse|chemin|place|quai|allée|boulevard|bd|route|cours|sentier|passage|esplanade|promenade|ruelle|voie)"
+_FR_LINK = r"(?i:(?:de la|de l['’]|des|de|du|d['’]|aux|au|à la|à l['’]|la|le|les|l['’])[ ]?)"
+_FR_NAME = rf"(?:{_FR_LINK}{{0,2}}(?:\d{{1,2}}-)?{_CAP}(?:[ -]{_FR_LINK}{{0,2}}{_CAP}){{0,3}})"
+_TOWN = rf"(?:{_CAP}(?:-(?:(?i:sur|sous|en|la|le|les|lès|de|du|des|aux)|{_CAP}))*)"
+_POST = rf"(?:,?[  ]|[ ]?[,–—-][ ]?|,?\n)(?:[A-Z]{{1,2}}-)?\d{{5}} {_TOWN}"
+_DE_STREET = rf"(?:(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Unter den|AM|AN DER|AN DEN|IM|IN DER|ZUM|ZUR|AUF DEM|AUF DER|UNTER DEN)(?: [\p{{L}}\-]+){{1,2}}|\p{{Lu}}[\p{{L}}\-]*(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|steig|hof))"
+_ES_STREET = rf"(?:(?i:c/|calle|avenida|avda\.|plaza|paseo|camino|travesía|via|viale|piazza|rua|largo) (?i:(?:de los|de las|de la|del|de|da|do|dos) )?{_CAP}(?: (?:de la |del |de )?{_CAP}){{0,2}})"
+_EN_TYPE = r"(?i:Street|Road|Lane|Avenue|Close|Court|Drive|Way|Terrace|Crescent|Gardens|Grove|Hill|Square|Place|Row|Mews|St\.|Rd\.|Ave\.|Ct\.|Dr\.|Ln\.|St|Rd|Ave|Ct|Dr|Ln)"
+_UK_POST = r"[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}"
+_ADDRESSES = {
+    "fr": (rf"{_NUM},?[ ]{_FR_TYPE} {_FR_NAME}", rf"{_POST}"),
+    "de": (rf"{_DE_STREET} \d{{1,4}}[ ]?[a-z]?(?![\p{{L}}\d])", rf"{_POST}"),
+    "es": (rf"{_ES_STREET},? (?:[nN][º°oO]\.? ?|núm\. ?)?\d{{1,4}}(?! ?%)(?![\d,.]\d)", rf"{_POST}"),
+    "en": (rf"{_NUM} (?:S[tT]\. )?{_CAP}(?: {_CAP}){{0,2}} {_EN_TYPE}(?![\p{{L}}\d])", rf"(?:, {_TOWN}(?:,? {_UK_POST}|,? [A-Z]{{2}} \d{{5}})?|,? {_UK_POST})"),
+}
+_ADDRESS = {k: (regex.compile(rf"(?<![\p{{L}}\d]){a}"), regex.compile(b)) for k, (a, b) in _ADDRESSES.items()}
+
+_INIT = r"(?:\p{Lu}\.(?:[ ]?\p{Lu}\.)?)"
+_FULL = regex.compile(rf"(?<![\p{{L}}\d@_.\-])(?:{_INIT}|{_CAP}) {_PART}{{0,2}}{_CAP}(?![\p{{L}}\d@_])")
+_SWAP = regex.compile(rf"(?<![\p{{L}}\d@_.\-]){_PART}{{0,2}}{_CAP}(?:, | )(?:{_INIT}(?![\p{{L}}])|{_CAP})(?![\p{{L}}\d@_])")
+_TITLED = regex.compile(rf"(?<=(?<![\p{{L}}])(?:Mr|Mrs|Ms|Mme|Mlle|M\.|Mr\.|Mrs\.|Ms\.|Dr|Dr\.|Frau|Herr|Sr\.|Sra\.|Srta\.|Don|Doña|Monsieur|Madame) )(?:{_PART}{{0,2}}{_CAP})(?![\p{{L}}\d@_])")
+
+_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_LEFT = regex.compile(r"[\p{L}'’]+|\d+|\n|[^\s]")
+
+
+class Span(NamedTuple):
+    start: int
+    end: int
+    kind: str
+    features: tuple[str, ...]
+
+
+def plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+
+
+def _around(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
+    left = _LEFT.findall(text[max(0, a - 40) : a])[-3:]
+    right = _LEFT.findall(text[b : b + 30])[:2]
+    left = ["#" if t.isdigit() else t.lower() for t in left]
+    right = ["#" if t.isdigit() else t.lower() for t in right]
+    return ["^"] * (3 - len(left)) + left, right + ["$"] * (2 - len(right))
+
+
+def _context(kind: str, text: str, a: int, b: int) -> list[str]:
+    left, right = _around(text, a, b)
+    f = [f"{kind}|l1={left[-1]}", f"{kind}|l2={left[-2]} {left[-1]}", f"{kind}|r1={right[0]}", f"{kind}|r2={right[0]} {right[1]}"]
+    if any(t in PLACES for t in left[-2:]):
+        f.append(f"{kind}|place before")
+    if left[-1] in TITLES or (left[-1] == "." and left[-2] in TITLES):
+        f.append(f"{kind}|title before")
+    if right[0] in PLACES:
+        f.append(f"{kind}|place after")
+    if left[-1] in ("^", "\n"):
+        f.append(f"{kind}|line begins")
+    if right[0] in ("$", "\n"):
+        f.append(f"{kind}|line ends")
+    return f
+
+
+def _nir_valid(digits: str) -> bool:
+    body = digits[:-2].replace("2A", "19").replace("2B", "18")
+    return body.isdigit() and 97 - int(body) % 97 == int(digits[-2:])
+
+
+def _dni_valid(s: str) -> bool:
+    s = regex.sub(r"[ .\-]", "", s)
+    n = s[:-1].replace("X", "0").replace("Y", "1").replace("Z", "2")
+    return n.isdigit() and _DNI_LETTERS[int(n) % 23] == s[-1]
+
+
+def _name_features(text: str, a: int, b: int) -> list[str]:
+    s = text[a:b]
+    comma = ", " in s
+    tokens = regex.findall(r"[\p{L}\p{M}.'’\-]+", s)
+    big = [t for t in tokens if regex.match(r"\p{Lu}", t)]
+    f = ["name|bias", f"name|words={min(len(big), 4)}"]
+    given = [i for i, t in enumerate(tokens) if plain(t) in GIVEN]
+    if len(tokens) > 1:
+        f.append("name|given first" if 0 in given else "name|no given first")
+        f.append("name|given last" if len(tokens) - 1 in given else "name|no given last")
+    if not given:
+        f.append("name|no given")
+    if comma:
+        f.append("name|comma" + (" given" if given and given[-1] == len(tokens) - 1 else ""))
+    if regex.match(_INIT, tokens[0]):
+        f.append("name|initial first")
+    if len(tokens) > 1 and regex.fullmatch(_INIT, tokens[-1]):
+        f.append("name|initial last")
+    if any(t.isupper() and len(t) > 2 for t in tokens):
+        f.append("name|capitals" + (" all" if all(t.isupper() for t in tokens) and len(tokens) > 1 else ""))
+    if regex.match(_PART, s):
+        f.append("name|particle first" + (" capital" if s[0].isupper() else ""))
+    elif len(tokens) > 2 and not comma:
+        f.append("name|particle inside")
+    return f
+
+
+def candidates(text: str) -> list[Span]:
+    """All plausible segments of a text with their features, by end and start."""
+    out: dict[tuple[int, int, str], list[str]] = {}
+
+    def add(a: int, b: int, kind: str, *features: str) -> None:
+        if (a, b, kind) not in out:
+            out[a, b, kind] = [f"{kind}|{x}" for x in ("bias", *features)] + _context(kind, text, a, b)
+
+    if "@" in text or regex.search(r"arobase|arroba|\bat\b", text, regex.IGNORECASE):
+        for m in _EMAIL.finditer(text, overlapped=False):
+            s = m[0]
+            tld = regex.search(r"([\p{L}\d\-]+)$", s)[1]
+            f = ["tld letters" if tld.isalpha() and len(tld) >= 2 else "tld odd"]
+            f.append("disguised" if not regex.fullmatch(r"[\w.+\-]+@[\w.\-]+", s) else "plain")
+            if f[-1] == "disguised":
+                f.append("dot words" if regex.search(r"(?i)dot|point|punto|punkt", s) else "only at")
+                if regex.search(rf"{_SP}(?:at){_SP}", s):
+                    f.append("word at")
+            if regex.search(rf"(?:@|\]|\)|{_SP})\d", s):
+                f.append("domain digit")
+            if len(regex.match(r"[\w.+\-]+", s)[0]) == 1:
+                f.append("local short")
+            add(m.start(), m.end(), "email", *f)
+    if regex.search(r"\d", text):
+        for form, pattern in _PHONE.items():
+            for m in pattern.finditer(text):
+                digits = len(regex.sub(r"\D", "", m[0]))
+                f = [f"form {form}", "long" if digits >= 9 else "short"]
+                if regex.match(r"[ .\- ]?\d", text[m.end() : m.end() + 2]):
+                    f.append("digits go on")
+                add(m.start(), m.end(), "phone", *f)
+        for m in _NIR.finditer(text):
+            add(m.start(), m.end(), "id_number", "nir", "valid" if _nir_valid(regex.sub(r"[^\dAB]", "", m[0])) else "invalid")
+        for m in _DNI.finditer(text):
+            add(m.start(), m.end(), "id_number", "dni", "valid" if _dni_valid(m[0]) else "invalid")
+        for m in _SSN.finditer(text):
+            add(m.start(), m.end(), "id_number", "ssn")
+        for m in _NINO.finditer(text):
+            add(m.start(), m.end(), "id_number", "nino")
+        for m in _TAX.finditer(text):
+            add(m.start(), m.end(), "id_number", "tax", "grouped" if " " in m[0] else "solid")
+        for form, (street, tail) in _ADDRESS.items():
+            for m in street.finditer(text):
+                add(m.start(), m.end(), "address", f"form {form}", "street only")
+                if t := tail.match(text, m.end()):
+                    add(m.start(), t.end(), "address", f"form {form}", "with town")
+    for pattern in (_FULL, _SWAP, _TITLED):
+        for m in pattern.finditer(text, overlapped=True):
+            a, b = m.span()
+            if (a, b, "name") not in out:
+                out[a, b, "name"] = _name_features(text, a, b) + _context("name", text, a, b)
+    return [Span(a, b, k, tuple(f)) for (a, b, k), f in sorted(out.items(), key=lambda x: (x[0][1], x[0][0], x[0][2]))]
+
+
+def best(spans: list[Span], weights: dict[str, float]) -> list[Span]:
+    """The segmentation with the highest score."""
+    ends = [s.end for s in spans]
+    top, take = [0.0], []
+    for i, s in enumerate(spans):
+        score = sum(weights.get(f, 0.0) for f in s.features)
+        j = bisect.bisect_right(ends, s.start, 0, i)
+        with_ = top[j] + score
+        take.append((with_ > top[i], j))
+        top.append(max(top[i], with_))
+    out, i = [], len(spans)
+    while i:
+        yes, j = take[i - 1]
+        if yes:
+            out.append(spans[i - 1])
+            i = j
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def _log_add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
+def marginals(spans: list[Span], weights: dict[str, float]) -> list[float]:
+    """P(segment is in the segmentation), by forward and backward sums over the lattice."""
+    n = len(spans)
+    score = [sum(weights.get(f, 0.0) for f in s.features) for s in spans]
+    ends = [s.end for s in spans]
+    before = [bisect.bisect_right(ends, s.start, 0, i) for i, s in enumerate(spans)]
+    alpha = [0.0]
+    for i in range(n):
+        alpha.append(_log_add(alpha[i], alpha[before[i]] + score[i]))
+    beta = [-math.inf] * n + [0.0]
+    into: list[list[int]] = [[] for _ in range(n + 1)]
+    for i, j in enumerate(before):
+        into[j].append(i)
+    for j in range(n - 1, -1, -1):
+        b = beta[j + 1]
+        for i in into[j]:
+            b = _log_add(b, score[i] + beta[i + 1])
+        beta[j] = b
+    return [math.exp(min(0.0, alpha[before[i]] + score[i] + beta[i + 1] - alpha[n])) for i in range(n)]
+
+
+def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 6, rate: float = 0.4, decay: float = 1e-3) -> dict[str, float]:
+    """Weights by stochastic gradient ascent on the conditional likelihood (adaptive steps, L2 penalty)."""
+    data = []
+    for text, gold in labelled:
+        spans = candidates(text)
+        if spans:
+            data.append((spans, {(a, b, k) for a, b, k in gold}))
+    w: dict[str, float] = defaultdict(float)
+    seen: dict[str, float] = defaultdict(lambda: 1e-6)
+    for _ in range(rounds):
+        for spans, gold in data:
+            g: dict[str, float] = defaultdict(float)
+            for s, p in zip(spans, marginals(spans, w), strict=True):
+                d = ((s.start, s.end, s.kind) in gold) - p
+                if abs(d) > 1e-4:
+                    for f in s.features:
+                        g[f] += d
+            for f, d in g.items():
+                d -= decay * w[f]
+                seen[f] += d * d
+                w[f] += rate * d / math.sqrt(seen[f])
+    return {f: round(v, 4) for f, v in w.items() if abs(v) > 1e-3}
+
+
+@lru_cache(maxsize=1)
+def weights() -> dict[str, float]:
+    """The fitted weights: the same on every run, as the training sentences come from a fixed seed."""
+    from .privacy_training import sentences
+
+    return fit(sentences())
+
+
+def find(text: str | None, w: dict[str, float]) -> list[Span]:
+    return best(candidates(text), w) if text else []
+
+
+_SHAPE = "row_id {0}, kinds array<string>, starts array<int>, ends array<int>, redacted string"
+
+
+def detect(documents: DataFrame, row_id: str, text: str) -> DataFrame:
+    """Per row: ``row_id``, ``redacted`` (the text with ``[KIND]`` in place of each find, else unchanged) and arrays ``kinds``, ``starts``, ``ends`` of the finds in order.
+
+    Places are code points, starts from 0, ends exclusive. Null and empty texts have no finds; a null stays null. Texts are read whole. Repeated rows come out as often; other columns are ignored.
+    """
+    w = weights()
+    kind = documents.schema[row_id].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {"kinds": [], "starts": [], "ends": [], "redacted": []}
+            for t in b.column("t").to_pylist():
+                spans = find(t, w)
+                out["kinds"].append([s.kind for s in spans])
+                out["starts"].append([s.start for s in spans])
+                out["ends"].append([s.end for s in spans])
+                parts, at = [], 0
+                for s in spans:
+                    parts += [t[at : s.start], f"[{s.kind.upper()}]"]
+                    at = s.end
+                out["redacted"].append("".join([*parts, t[at:]]) if t is not None else None)
+            i32 = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_pydict({"row_id": b.column("row_id"), "kinds": pa.array(out["kinds"], pa.list_(pa.string())), "starts": pa.array(out["starts"], i32), "ends": pa.array(out["ends"], i32), "redacted": pa.array(out["redacted"], pa.string())})
+
+    rows = documents.select(F.col(row_id).alias("row_id"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(kernel, _SHAPE.format(kind)).withColumnRenamed("row_id", row_id)

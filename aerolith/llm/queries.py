@@ -9,6 +9,7 @@ from ..session import cut
 from ..sources.tables import table
 from .encoding import encode
 from .leaks import find_leaks
+from .privacy import detect
 from .quantiles import digests, merge, percentiles
 
 #: The value that stands for none in rasters.
@@ -43,5 +44,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", ("passage", "question"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p7_ids, p8_found)}
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal information."""
+    return detect(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "redacted", F.size("kinds").alias("n_found"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each email, phone number, identity number, address and name with its place."""
+    d = detect(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    one = F.explode(F.arrays_zip("kinds", "starts", "ends")).alias("x")
+    return d.select("doc_id", one).select("doc_id", F.col("x.kinds").alias("kind"), F.col("x.starts").alias("start_pos"), F.col("x.ends").alias("end_pos"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p7_ids, p8_found, p9_found, p9_redacted)}
 ORACLES: dict[str, str] = {}
