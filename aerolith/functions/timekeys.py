@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+_KEY = re.compile(
+    r"(?:(?P<y>\d{4})[-/.]?(?P<m>\d\d)[-/.]?(?P<d>\d\d)|(?P<d2>\d\d)[-/.](?P<m2>\d\d)[-/.](?P<y2>\d{4}))[T ]?(?P<h>\d\d)(?:[:h]?(?P<mi>\d\d))?h?(?::?\d\d(?:[.]\d+)?)?"
+    r" ?(?:Z|UTC|(?P<sign>[+-])(?P<oh>\d\d):?(?P<om>\d\d))?",
+    re.ASCII,
+)
 #: White space and invisible characters that may stand around or inside a key.
-_BLANK = r"[\s\u00a0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]+"
-_DAY_FIRST = r"^([0-9]{2})[-/.]([0-9]{2})[-/.]([0-9]{4})"
-_ZONE = r"[ ]?(?:Z|UTC|([+-][0-9]{2}:?[0-9]{2}))?$"
-_HOUR_ONLY = r"^([0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}[T ]?[0-9]{2})h?(?=" + _ZONE + ")"
-_FULL = r"^([0-9]{4})[-/.]?([0-9]{2})[-/.]?([0-9]{2})[T ]?([0-9]{2})[:h]?([0-9]{2})(?::?[0-9]{2}(?:[.][0-9]+)?)?" + _ZONE
+_BLANK = re.compile("[\\s\u200b-\u200f\u2060\ufeff]+")
+
+
+@lru_cache(maxsize=1 << 18)
+def read_key(key: str) -> int | None:
+    m = _KEY.fullmatch(_BLANK.sub(" ", key).strip())
+    if not m:
+        return None
+    try:
+        day = date(int(m["y"] or m["y2"]), int(m["m"] or m["m2"]), int(m["d"] or m["d2"])).toordinal() - 719163
+    except ValueError:
+        return None
+    hour, minute = int(m["h"]), int(m["mi"] or 0)
+    if minute > 59 or hour * 60 + minute > 1440:
+        return None
+    offset = int(m["sign"] + "1") * (int(m["oh"]) * 60 + int(m["om"])) if m["sign"] else 0
+    return day * 1440 + hour * 60 + minute - offset
+
+
+def _read_keys(key: pa.Array) -> pa.Array:
+    d = key.dictionary_encode()
+    return pa.array([read_key(k) if k is not None else None for k in d.dictionary.to_pylist()], pa.int64()).take(d.indices)
 
 
 def minutes_of_key(key: Column) -> Column:
@@ -18,24 +46,12 @@ def minutes_of_key(key: Column) -> Column:
 
     Understood: ``yyyyMMddHH``, ``yyyyMMddHHmm``, ISO dates and times with or without seconds, ``dd/MM/yyyy HH:mm``;
     blanks anywhere around; ``Z`` or a UTC offset at the end. Without an offset the key is UTC. Hour 24 with no minutes
-    is the midnight that ends the day. The usual notations are taken apart by position; a chain of patterns reads the others.
+    is the midnight that ends the day.
+
+    Batches are dictionary-encoded, so each notation of an hour is read once and not once a row; as one Column the same rules overflow what the
+    JVM compiles and take ten times as long. It counts as non-deterministic so that the optimizer does not copy it into filters.
     """
-    t = F.trim(F.translate(key, "\u00a0\u2009\u202f\t", "    "))
-    size, at = F.length(t), lambda n: F.substring(t, n, 1)
-    cut = lambda start, n: F.substring(t, start, n)
-    join = lambda y, m, d, h, mi, zone=F.lit(""): F.concat(y, F.lit("-"), m, F.lit("-"), d, F.lit("T"), h, F.lit(":"), mi, F.lit(":00UTC"), zone)
-    o = F.regexp_replace(F.trim(F.regexp_replace(key, _BLANK, " ")), _DAY_FIRST, "$3$2$1")
-    o = F.regexp_replace(F.regexp_replace(o, _HOUR_ONLY, "$1:00"), _FULL, "$1-$2-$3T$4:$5:00UTC$6")
-    iso = (
-        F.when((size == 10) & t.try_cast("long").isNotNull(), join(cut(1, 4), cut(5, 2), cut(7, 2), cut(9, 2), F.lit("00")))
-        .when((size == 12) & t.try_cast("long").isNotNull(), join(cut(1, 4), cut(5, 2), cut(7, 2), cut(9, 2), cut(11, 2)))
-        .when((at(5) == "-") & (at(11) == "T") & (at(14) == ":") & ((size == 16) | ((size == 17) & (at(17) == "Z"))), join(cut(1, 4), cut(6, 2), cut(9, 2), cut(12, 2), cut(15, 2)))
-        .when((at(5) == "-") & (at(11) == "T") & (at(14) == ":") & (size == 22) & at(17).isin("+", "-"), join(cut(1, 4), cut(6, 2), cut(9, 2), cut(12, 2), cut(15, 2), cut(17, 6)))
-        .when((at(3) == "/") & (at(6) == "/") & (at(11) == " ") & (at(14) == ":") & (size == 16), join(cut(7, 4), cut(4, 2), cut(1, 2), cut(12, 2), cut(15, 2)))
-        .otherwise(o)
-    )
-    midnight = F.replace(iso, F.lit("T24:00:00"), F.lit("T00:00:00"))
-    return F.when(F.contains(iso, F.lit(":00UTC")), F.floor(F.unix_seconds(midnight.try_cast("timestamp")) / 60) + F.when(iso.contains("T24:"), 1440).otherwise(0))
+    return F.arrow_udf(_read_keys, LongType()).asNondeterministic()(key)
 
 
 def hour_label(minutes: Column) -> Column:
