@@ -45,7 +45,7 @@ _SP = r"[   ]"
 
 _AT = rf"(?:{_SP}?@{_SP}?|{_SP}?[\(\[](?:at|AT|arobase|arroba|chiocciola)[\)\]]{_SP}?|{_SP}(?:AT|at|arobase|arroba){_SP})"
 _DOT = rf"(?:\.|{_SP}?[\(\[](?:dot|DOT|point|punto|punkt)[\)\]]{_SP}?|{_SP}(?:DOT|dot|point|punto|punkt){_SP})"
-_EMAIL = regex.compile(rf"(?<![\w.+\-@])[\p{{L}}\d][\w.+\-]*{_AT}[\p{{L}}\d][\p{{L}}\d\-]*(?:{_DOT}[\p{{L}}\d\-]+)+(?![\w@])")
+_EMAIL = regex.compile(rf"(?<![\w.+\-@])[\p{{L}}\d][\w.+\-]*{_AT}[\p{{L}}\d][\p{{L}}\d\-]*(?:{_DOT}[\p{{L}}\d\-]+)*{_DOT}\p{{L}}{{2,}}(?![\w@])")
 
 _S = r"([ .\-  ‑]?)"
 _PHONES = {
