@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import problems, relational
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from . import problems
-
-Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (problems,)
+_MODULES = (problems, relational)
 
 
 def queries() -> dict[str, Query]:
