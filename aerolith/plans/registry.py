@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import problems, relational
+from . import formulas, problems, rasters, relational
 from .base import Query
 
-_MODULES = (problems, relational)
+_MODULES = (problems, relational, formulas, rasters)
 
 
 def queries() -> dict[str, Query]:

@@ -206,12 +206,12 @@ def join_point_in_polygon(s: SparkSession, d: str) -> DataFrame:
     return inside.select("oid", "lno", F.col("id").alias("building_id"))
 
 
-@query("join_line_zone_cut", "SELECT CAST(g.i AS BIGINT) AS line, b.id, b.ymax AS y_wall, b.ymax - b.ymin AS cut_length FROM f_building b JOIN (SELECT unnest(generate_series(0, 199)) AS i) g ON g.i * 5 + 2.5 > b.xmin AND g.i * 5 + 2.5 < b.xmax")
+@query("join_line_zone_cut", "SELECT CAST(g.i AS BIGINT) AS line, b.id, b.ymax AS y_wall, b.ymax - b.ymin AS cut_length FROM f_building b JOIN (SELECT unnest(generate_series(0, 250)) AS i) g ON g.i * 5 + 2.5 > b.xmin AND g.i * 5 + 2.5 < b.xmax")
 def join_line_zone_cut(s: SparkSession, d: str) -> DataFrame:
     """Vertical grid lines through polygons: each polygon generates the lines that cross it; crossings from its edges."""
     b = G.with_box(view(s, d, B))
     k = F.sequence(F.ceil((F.col("xmin") - 2.5) / 5), F.floor((F.col("xmax") - 2.5) / 5))
-    lines = b.where(F.ceil((F.col("xmin") - 2.5) / 5) <= F.floor((F.col("xmax") - 2.5) / 5)).select("id", "geom", F.explode(k).alias("line")).where("line BETWEEN 0 AND 199")
+    lines = b.where(F.ceil((F.col("xmin") - 2.5) / 5) <= F.floor((F.col("xmax") - 2.5) / 5)).select("id", "geom", F.explode(k).alias("line"))
     ys = G.vertical_crossings(F.col("geom"), F.col("line") * 5 + 2.5)
     cut = lines.select("line", "id", F.array_max(ys).alias("y_wall"), (F.array_max(ys) - F.array_min(ys)).alias("cut_length"))
     return cut.where("cut_length > 0")
@@ -288,24 +288,25 @@ def join_time_align(s: SparkSession, d: str) -> DataFrame:
     return w.select("ts_h", "td").join(w.where("kdn > 100").select("ts_h", "kdn"), "ts_h")
 
 
-@query("join_merge_left", "SELECT e.tail, e.head, t.z AS z_tail, h.z AS z_head FROM f_edge e LEFT JOIN (SELECT id AS n, hauteur AS z FROM f_building WHERE id < 50) t ON e.tail = t.n LEFT JOIN (SELECT id AS n, hauteur AS z FROM f_building WHERE id < 50) h ON e.head = h.n")
+@query("join_merge_left", "SELECT e.tail, e.head, t.z AS z_tail, h.z AS z_head FROM f_edge e LEFT JOIN (SELECT id AS n, hauteur AS z FROM f_building) t ON e.tail = t.n LEFT JOIN (SELECT id AS n, hauteur AS z FROM f_building) h ON e.head = h.n")
 def join_merge_left(s: SparkSession, d: str) -> DataFrame:
-    nodes = view(s, d, B).where("id < 50")
+    nodes = view(s, d, B)
     e = view(s, d, "f_edge").select("tail", "head")
     return e.join(nodes.select(F.col("id").alias("tail"), F.col("hauteur").alias("z_tail")), "tail", "left").join(nodes.select(F.col("id").alias("head"), F.col("hauteur").alias("z_head")), "head", "left")
 
 
 _OCCUPANCY = """
-WITH b AS (SELECT class_id AS k, SUM((xmax-xmin)*(ymax-ymin)) AS a FROM f_landcover WHERE id % 2 = 0 GROUP BY class_id), f AS (SELECT class_id AS k, SUM((xmax-xmin)*(ymax-ymin)) AS a FROM f_landcover WHERE id % 3 = 0 GROUP BY class_id)
+WITH b AS (SELECT class_id AS k, SUM((xmax-xmin)*(ymax-ymin)) AS a FROM f_landcover GROUP BY class_id), f AS (SELECT CASE WHEN class_id > 12 THEN 20 ELSE class_id + id % 2 END AS k, SUM((xmax-xmin)*(ymax-ymin)) AS a FROM f_landcover GROUP BY 1)
 SELECT COALESCE(b.k, f.k) AS class_id, COALESCE(b.a, 0) AS before_area, COALESCE(f.a, 0) AS after_area, ROUND(100 * COALESCE(b.a, 0) / (SELECT SUM(a) FROM b), 6) AS before_pct, ROUND(100 * COALESCE(f.a, 0) / (SELECT SUM(a) FROM b), 6) AS after_pct FROM b FULL JOIN f ON b.k = f.k"""
 
 
 def _occupancy(s: SparkSession, d: str) -> DataFrame:
     """Areas by class before and after; both percentages over the area before."""
     c = view(s, d, "f_landcover").withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
-    part = lambda m, n: c.where(F.col("id") % m == 0).groupBy("class_id").agg(F.sum("area").alias(n))
-    both = part(2, "before_area").join(part(3, "after_area"), "class_id", "full").na.fill(0.0)
-    total = F.broadcast(c.where("id % 2 = 0").agg(F.sum("area").alias("total")))
+    after = F.when(F.col("class_id") > 12, F.lit(20).cast("long")).otherwise(F.col("class_id") + F.col("id") % 2)
+    one = lambda k, n: c.groupBy(k.alias("class_id")).agg(F.sum("area").alias(n))
+    both = one(F.col("class_id"), "before_area").join(one(after, "after_area"), "class_id", "full").na.fill(0.0)
+    total = F.broadcast(c.agg(F.sum("area").alias("total")))
     return both.crossJoin(total).select("class_id", "before_area", "after_area", F.round(100 * F.col("before_area") / F.col("total"), 6).alias("before_pct"), F.round(100 * F.col("after_area") / F.col("total"), 6).alias("after_pct"))
 
 
