@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import formulas, problems, rasters, relational
+from . import formats, formulas, problems, rasters, relational, windfield
 from .base import Query
 
-_MODULES = (problems, relational, formulas, rasters)
+_MODULES = (problems, relational, formulas, rasters, windfield, formats)
 
 
 def queries() -> dict[str, Query]:
