@@ -13,6 +13,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.unitgrammar import QUANTITY_NAMES, read_note
 from ..session import cut
@@ -25,7 +26,7 @@ PRESSURE = (1.0, 0.01, 10.0, 33.86389, 1.33322368)
 INFRARED, INFRARED_OFF = 110.0, 0.85
 #: Share of the horizontal direct and diffuse parts that global radiation comes to, and the sum from which it is held against them.
 PARTS, PARTS_FROM = 0.975, 8.0
-_FACTORS = "struct<GLO:double,PSTAT:double,N:double,INFRAR:double>"
+_FACTORS = StructType([StructField(q, DoubleType()) for q in QUANTITY_NAMES])
 
 
 @F.arrow_udf(_FACTORS)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import formats, formulas, problems, rasters, relational, windfield
+from . import formats, formulas, problems, rasters, relational, thermal, windfield
 from .base import Query
 
-_MODULES = (problems, relational, formulas, rasters, windfield, formats)
+_MODULES = (problems, relational, formulas, rasters, windfield, formats, thermal)
 
 
 def queries() -> dict[str, Query]:
