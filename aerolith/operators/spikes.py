@@ -18,11 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks from here down hold rows without an order.
-UNORDERED = -(1 << 40)
 HALF = 3
 HAMPEL = 2.5
 ROUNDS = 12
@@ -60,7 +58,6 @@ class Plan:
     margin_minutes: int = 16 * 1440
     longest: int = 3
     fewest: int = 8
-    spread: int = 64
 
 
 def stuck_mask(values: np.ndarray, q: Quantity, n: int) -> np.ndarray:
@@ -132,7 +129,7 @@ def spike_mask(times: np.ndarray, values: np.ndarray, q: Quantity, longest: int,
     return out
 
 
-def judge(times: np.ndarray, columns: dict[str, np.ndarray], plan: Plan, ordered: bool = True) -> dict[str, np.ndarray]:
+def judge(times: np.ndarray, columns: dict[str, np.ndarray], plan: Plan) -> dict[str, np.ndarray]:
     """Reasons (0 none, 1 bound, 2 stuck, 3 spike, 4 above another quantity) of each reading; ``times`` ascending, NaN is no reading."""
     out: dict[str, np.ndarray] = {}
     for q in plan.quantities:
@@ -140,7 +137,7 @@ def judge(times: np.ndarray, columns: dict[str, np.ndarray], plan: Plan, ordered
         why = np.zeros(len(x), np.int8)
         with np.errstate(invalid="ignore"):
             why[(x < q.low) | (x > q.high)] = 1
-        have = np.flatnonzero(~np.isnan(x)) if ordered else np.empty(0, int)
+        have = np.flatnonzero(~np.isnan(x))
         s = have[stuck_mask(x[have], q, plan.stuck)]
         why[s[why[s] == 0]] = 2
         sound = have[why[have] == 0]
@@ -156,6 +153,20 @@ def judge(times: np.ndarray, columns: dict[str, np.ndarray], plan: Plan, ordered
 REASONS = ("", "bound", "stuck", "spike", "above")
 
 
+def _unordered(plan: Plan) -> Column:
+    """What can be said of a row by itself: an array of (field, reason)."""
+    out = []
+    for q in plan.quantities:
+        x = F.col(q.name)
+        there = x.isNotNull() & ~F.isnan(x)
+        code = F.when(there & ((x < q.low) | (x > q.high)), "bound")
+        if q.not_above:
+            o = next(p for p in plan.quantities if p.name == q.not_above)
+            code = code.when(there & F.col(o.name).between(o.low, o.high) & (x > F.col(o.name) + q.tick / 2), "above")
+        out.append(F.struct(F.lit(q.name).alias("field"), code.alias("reason")))
+    return F.array(*out)
+
+
 def flag_implausible(df: DataFrame, row_id: str, source: str, minute: str, plan: Plan = Plan()) -> DataFrame:
     """One row per wrong value: ``row_id``, ``field`` and ``reason`` (bound, stuck, spike, above).
 
@@ -171,14 +182,13 @@ def flag_implausible(df: DataFrame, row_id: str, source: str, minute: str, plan:
     id_type = df.schema[row_id].dataType.simpleString()
     base = df.select(F.col(row_id).alias("r_id"), F.col(source).alias("r_src"), F.col(minute).cast("long").alias("r_t"), *[F.col(n).cast("double").alias(n) for n in names])
 
-    # Rows without order are groups of their own, apart from every block of time, and spread by a hash.
+    untimed = base.where("r_t is null or r_src is null").select("r_id", F.explode(_unordered(plan)).alias("w")).where("w.reason is not null").select("r_id", "w.field", "w.reason")
+
     b, m = plan.block_minutes, plan.margin_minutes
-    ordered = F.col("r_t").isNotNull() & F.col("r_src").isNotNull()
-    own = F.when(ordered, F.floor(F.col("r_t") / b)).otherwise(UNORDERED - F.pmod(F.xxhash64("r_id"), F.lit(plan.spread)))
+    timed = base.where("r_t is not null and r_src is not null").withColumn("r_own", F.floor(F.col("r_t") / b))
     into = F.col("r_t") - F.col("r_own") * b
-    blocks = F.array(F.col("r_own"), F.when(ordered & (into < m), F.col("r_own") - 1), F.when(ordered & (into >= b - m), F.col("r_own") + 1))
-    timed = base.withColumn("r_own", own).withColumn("r_block", F.explode(F.array_compact(blocks)))
-    timed = timed.withColumn("r_src", F.when(ordered, F.col("r_src")))
+    blocks = F.array(F.col("r_own"), F.when(into < m, F.col("r_own") - 1), F.when(into >= b - m, F.col("r_own") + 1))
+    timed = timed.withColumn("r_block", F.explode(F.array_compact(blocks)))
 
     def kernel(block: pa.Table) -> pa.Table:
         column = {c: block.column(c).to_numpy() for c in ("r_own", "r_block", "r_t", "r_id", *names)}
@@ -186,17 +196,14 @@ def flag_implausible(df: DataFrame, row_id: str, source: str, minute: str, plan:
         ids, fields, reasons = [column["r_id"][:0]], [np.empty(0, np.int8)], [np.empty(0, np.int8)]
         if own.any():
             x = np.stack([column[n].astype(float) for n in names], axis=1)
-            t = np.nan_to_num(column["r_t"].astype(float))
+            t = column["r_t"]
             order = np.lexsort((*x.T[::-1], t))
             x, t, own = x[order], t[order], own[order]
             same = np.zeros(len(t), bool)
             same[1:] = (t[1:] == t[:-1]) & ((x[1:] == x[:-1]) | (np.isnan(x[1:]) & np.isnan(x[:-1]))).all(1)
             lead = np.flatnonzero(~same)
             member = np.cumsum(~same) - 1
-            unordered = column["r_block"][0] <= UNORDERED
-            if unordered:
-                lead, member = np.arange(len(t)), np.arange(len(t))
-            said = judge(t[lead], {n: x[lead, i] for i, n in enumerate(names)}, plan, not unordered)
+            said = judge(t[lead], {n: x[lead, i] for i, n in enumerate(names)}, plan)
             for i, n in enumerate(names):
                 code = said[n][member]
                 hit = np.flatnonzero((code > 0) & own)
@@ -207,4 +214,5 @@ def flag_implausible(df: DataFrame, row_id: str, source: str, minute: str, plan:
 
     judged = timed.groupBy("r_src", "r_block").applyInArrow(kernel, f"r_id {id_type}, f tinyint, w tinyint")
     word = lambda code, words: F.element_at(F.array(*map(F.lit, words)), F.col(code).cast("int") + 1)
-    return judged.select(F.col("r_id").alias(row_id), word("f", names).alias("field"), word("w", REASONS).alias("reason"))
+    judged = judged.select("r_id", word("f", names).alias("field"), word("w", REASONS).alias("reason")).unionByName(untimed)
+    return judged.withColumnRenamed("r_id", row_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
@@ -52,7 +53,9 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name not in FIXTURES:
         return table(spark, folder, name)
     text = FIXTURES[name]
-    return spark.sql(text, **{t: table(spark, folder, t) for t in _TABLES if "{" + t + "}" in text})
+    df = spark.sql(text, **{t: table(spark, folder, t) for t in _TABLES if "{" + t + "}" in text})
+    zoned = {f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema if f.dataType.typeName() == "timestamp"}
+    return df.withColumns(zoned) if zoned else df
 
 
 def with_fixtures(sql: str) -> str:

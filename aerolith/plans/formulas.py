@@ -410,12 +410,12 @@ def epw_convert(s, d):
 _KT = "least(greatest(kdn / 900, 0), 1)"
 
 
-@query("epw_dni_dhi", f"SELECT ts_h, ROUND(kdn * CASE WHEN {_KT} <= 0.22 THEN 1 - 0.09 * {_KT} WHEN {_KT} <= 0.8 THEN 0.9511 - 0.1604 * {_KT} + 4.388 * pow({_KT}, 2) - 16.638 * pow({_KT}, 3) + 12.336 * pow({_KT}, 4) ELSE 0.165 END, 3) AS dhi FROM f_weather")
+@query("epw_dni_dhi", f"SELECT ts_h, ROUND(kdn * CASE WHEN {_KT} <= 0.22 THEN 1 - 0.09 * {_KT} WHEN {_KT} <= 0.8 THEN 0.9511 - 0.1604 * {_KT} + 4.388 * pow({_KT}, 2) - 16.638 * pow({_KT}, 3) + 12.336 * pow({_KT}, 4) ELSE 0.165 END, 9) AS dhi FROM f_weather")
 def epw_dni_dhi(s, d):
     """Diffuse part of global radiation by clearness (Erbs's published correlation)."""
     k = F.least(F.greatest(F.col("kdn") / 900, F.lit(0.0)), F.lit(1.0))
     share = F.when(k <= 0.22, 1 - 0.09 * k).when(k <= 0.8, 0.9511 - 0.1604 * k + 4.388 * F.pow(k, 2) - 16.638 * F.pow(k, 3) + 12.336 * F.pow(k, 4)).otherwise(0.165)
-    return _w(s, d).select("ts_h", F.round(F.col("kdn") * share, 3).alias("dhi"))
+    return _w(s, d).select("ts_h", F.round(F.col("kdn") * share, 9).alias("dhi"))
 
 
 @query("umep_forcing", "SELECT CAST(year(ts_h) AS INTEGER) AS iy, CAST(dayofyear(ts_h) AS INTEGER) AS id, CAST(hour(ts_h) AS INTEGER) AS it, 0 AS imin, ws AS wind, rh AS rh, td AS td, kdn AS kdn, -999.0::DOUBLE AS rain, wd FROM f_weather")
@@ -437,9 +437,9 @@ def comfort_pmv(s, d):
     return _cells(s, d).select("site_id", "time", "y", "x", "utci", r6(C.ppd(C.utci_to_pmv(F.col("utci"))), "ppd"))
 
 
-@query("comfort_utci_to_pmv", f"SELECT site_id, time, y, x, ROUND({_PMV('utci')}, 6) AS pmv FROM {_CLEAN} t")
+@query("comfort_utci_to_pmv", f"SELECT site_id, time, y, x, ROUND({_PMV('utci')}, 9) AS pmv FROM {_CLEAN} t")
 def comfort_utci_to_pmv(s, d):
-    return _cells(s, d).select("site_id", "time", "y", "x", r6(C.utci_to_pmv(F.col("utci")), "pmv"))
+    return _cells(s, d).select("site_id", "time", "y", "x", F.round(C.utci_to_pmv(F.col("utci")), 9).alias("pmv"))
 
 
 _SHARE = f"(SELECT site_id, time, AVG(1 - shadow) AS share, AVG(CASE WHEN shadow < 0.5 THEN utci END) AS u_shade, AVG(CASE WHEN shadow > 0.5 THEN utci END) AS u_sun FROM {_CLEAN} c GROUP BY site_id, time) g"
@@ -468,9 +468,9 @@ def comfort_indicator(s, d):
     return x.where(C.wanted_shade(F.col("u_sun")) != 0).select("site_id", "time", F.round(C.comfort_indicator(F.col("share"), F.col("u_shade"), F.col("u_sun")), 5).alias("ppd"))
 
 
-@query("comfort_ppd_variants", f"SELECT site_id, time, ROUND({_PPD('greatest(0.5 + 2.5 * (100 * share) / 100.0, 0)')}, 5) AS ppd_a, ROUND(10 + 65 * (u_sun - 26) / 12.0, 8) AS shade_max FROM {_SHARE}")
+@query("comfort_ppd_variants", f"SELECT site_id, time, ROUND({_PPD('greatest(0.5 + 2.5 * (100 * share) / 100.0, 0)')}, 5) AS ppd_a, ROUND(10 + 65 * (u_sun - 26) / 12.0, 11) AS shade_max FROM {_SHARE}")
 def comfort_ppd_variants(s, d):
-    return _shares(s, d).select("site_id", "time", F.round(C.ppd(0.5 + 2.5 * (100 * F.col("share")) / 100), 5).alias("ppd_a"), F.round(C.wanted_shade(F.col("u_sun"), 10.0, 75.0), 8).alias("shade_max"))
+    return _shares(s, d).select("site_id", "time", F.round(C.ppd(0.5 + 2.5 * (100 * F.col("share")) / 100), 5).alias("ppd_a"), F.round(C.wanted_shade(F.col("u_sun"), 10.0, 75.0), 11).alias("shade_max"))
 
 
 @query("comfort_utci_fill", f"SELECT site_id, time, ROUND(COALESCE(u_shade, u_sun), 6) AS u_shade FROM {_SHARE}")

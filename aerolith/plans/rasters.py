@@ -58,7 +58,7 @@ def raster_interp_nearest(s, d):
     return _resized(s, d)
 
 
-@query("raster_reproject", "SELECT r, c, ROUND(700000 + c * 5.0 - 3 * r, 6) AS x, ROUND(6600000 - r * 5.0 + 2 * c, 6) AS y, v FROM f_pixel")
+@query("raster_reproject", "SELECT r, c, CAST(700000 + c * 5.0 - 3 * r AS DOUBLE) AS x, CAST(6600000 - r * 5.0 + 2 * c AS DOUBLE) AS y, v FROM f_pixel")
 def raster_reproject(s, d):
     """Pixel centres by an affine transform with shear."""
     return _p(s, d).select("r", "c", F.round(700000 + F.col("c") * 5.0 - 3 * F.col("r"), 6).alias("x"), F.round(6600000 - F.col("r") * 5.0 + 2 * F.col("c"), 6).alias("y"), "v")

@@ -217,7 +217,7 @@ def join_line_zone_cut(s: SparkSession, d: str) -> DataFrame:
     return cut.where("cut_length > 0")
 
 
-@query("join_cross_levels", "SELECT b.id, CAST(g.k AS BIGINT) AS id_z, g.k * 2.0 + 1.0 AS z FROM f_building b JOIN (SELECT unnest(generate_series(0, 40)) AS k) g ON g.k * 2.0 + 1.0 < b.hauteur")
+@query("join_cross_levels", "SELECT b.id, CAST(g.k AS BIGINT) AS id_z, CAST(g.k * 2.0 + 1.0 AS DOUBLE) AS z FROM f_building b JOIN (SELECT unnest(generate_series(0, 40)) AS k) g ON g.k * 2.0 + 1.0 < b.hauteur")
 def join_cross_levels(s: SparkSession, d: str) -> DataFrame:
     """Points times height levels below their top: the levels are generated, not joined."""
     b = view(s, d, B).where("hauteur > 1").select("id", "hauteur")

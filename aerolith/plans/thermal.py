@@ -219,7 +219,7 @@ def uwg_week_validity(s, d):
     return x.withColumn("ok", ok).where("ok IS NULL").select("r", F.size("week").alias("days"))
 
 
-@query("uwg_z_mesh", "SELECT CAST(k AS INTEGER) AS k, 10.0 * k * (k + 1) / 2 AS z, 10.0 * (k + 1) AS dz FROM (SELECT unnest(generate_series(0, 54)) AS k) g")
+@query("uwg_z_mesh", "SELECT CAST(k AS INTEGER) AS k, 10.0 * k * (k + 1) / 2 AS z, CAST(10.0 * (k + 1) AS DOUBLE) AS dz FROM (SELECT unnest(generate_series(0, 54)) AS k) g")
 def uwg_z_mesh(s, d):
     """A vertical mesh whose layers grow upward."""
     k = F.col("id")

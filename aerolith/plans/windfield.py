@@ -176,7 +176,7 @@ def _extent(s, d) -> tuple[tuple[int, int], tuple[int, int], int]:
     return (e[0] - 2, e[1] + 2), (e[2] - 2, e[3] + 2), int(e[4]) + 4
 
 
-@query("wind_grid", f"SELECT i AS i, j AS j, (i + 0.5) * 5 AS x, (j + 0.5) * 5 AS y FROM (SELECT unnest(generate_series(i0 - 2, i1 + 2))::BIGINT AS i FROM {_BOUNDS}) a CROSS JOIN (SELECT unnest(generate_series(j0 - 2, j1 + 2))::BIGINT AS j FROM {_BOUNDS}) b")
+@query("wind_grid", f"SELECT i AS i, j AS j, CAST((i + 0.5) * 5 AS DOUBLE) AS x, CAST((j + 0.5) * 5 AS DOUBLE) AS y FROM (SELECT unnest(generate_series(i0 - 2, i1 + 2))::BIGINT AS i FROM {_BOUNDS}) a CROSS JOIN (SELECT unnest(generate_series(j0 - 2, j1 + 2))::BIGINT AS j FROM {_BOUNDS}) b")
 def wind_grid(s, d):
     (i0, i1), (j0, j1), _ = _extent(s, d)
     n = i1 - i0 + 1
