@@ -34,6 +34,7 @@ GIVEN = frozenset(
     "oscar pablo patrick paul pedro peter philippe pierre priya rachel raphael rodrigo romain rowan ruth sabine samuel sarah sebastian simon siobhan sofia solene sophie stefan susan sylvie tabitha "
     "thibault thomas tobias tomas ursula ute valerie victor vincent william xavier ximena yannick yves zoe".split()
 )
+TOP_LEVEL = frozenset("com org net edu gov int info biz eu fr de es it pt uk ch be nl at ie us ca io example invalid test".split())
 TITLES = frozenset("mr mrs ms miss mme madame mlle monsieur frau herr dr sr sra srta señor señora don doña sig signora prof".split())
 PLACES = frozenset(
     "rue avenue boulevard bd place square allée impasse chemin quai route cours salle école collège lycée scolaire groupe gymnase stade parc pont tour résidence hôpital street road lane hall school college park "
@@ -178,7 +179,7 @@ def candidates(text: str) -> list[Span]:
         for m in _EMAIL.finditer(text, overlapped=False):
             s = m[0]
             tld = regex.search(r"([\p{L}\d\-]+)$", s)[1]
-            f = ["tld letters" if tld.isalpha() and len(tld) >= 2 else "tld odd"]
+            f = ["tld known" if tld.lower() in TOP_LEVEL else "tld unknown"]
             f.append("disguised" if not regex.fullmatch(r"[\w.+\-]+@[\w.\-]+", s) else "plain")
             if f[-1] == "disguised":
                 f.append("dot words" if regex.search(r"(?i)dot|point|punto|punkt", s) else "only at")

@@ -33,7 +33,7 @@ _FRAMES = [
     # look-alikes without a label
     "groupe scolaire {lure}", "square {lure} (maille 4)", "salle {lure}, plan 12", "le boulevard {lure} est exclu", "au bout de la rue {lure}", "the {lure} Hall roof", "the {lure} School roof", "lycée {lure}", "sonde Verlac 12, anémomètre Torvald", "parc {lure}", "stade {lure} au nord", "place {lure}, côté cour", "{lure} Street grid", "pont {lure}",
     "lot n° 06 12 72 2023", "jalons 01 02 03 04 05 06 07 08 09 10", "surface 1 84 03 m² puis 2 23 12 m²", "parcelle 96520 000 AB 0152", "clé horaire 2023071515", "n° de série 019994", "série {digits}", "poste 10047007", "poste 10065002 D", "25 000 000 points, 12 345 678 voxels", "seuil 33 1 99 %",
-    "EPSG:2154, emprise 3.033, 44.0743", "ticket #063949", "version 4.12.0.65", "dalle D06_2031_620_7160.gpkg", "Tmrt_2031_206_1600", "12345678901234567890", "matrice A@B (n=58)", "wind@10m.grid3", "T@2m.max", "seen by @toiture52 on the forum", "@capteur36 > merci", "between 10 and 14 Mill Lane plots",
+    "EPSG:2154, emprise 3.033, 44.0743", "ticket #063949", "version 4.12.0.65", "dalle D06_2031_620_7160.gpkg", "Tmrt_2031_206_1600", "12345678901234567890", "matrice A@B (n=58)", "wind@10m.grid3", "T@2m.max", "T@2m.max\n", "U@10m.min le soir", "wind@10m.mean", "x@3m.avg, puis T@2m.max", "seen by @toiture52 on the forum", "@capteur36 > merci", "between 10 and 14 Mill Lane plots",
     "Ravel Street grid, tile 12", "plan 63 Ravel Street grid, tile 9", "Bridge Road grid, tile 4", "1400 Mill Street grid, tile 15", "{lure}, 12 Ravel Street grid, tile 7", "RNB 4H8K-2M1P-9Q22", "levels.txt:55", "The mast at {town} confirms the gust 12 m from the mast.", "# {town} – LCZ 6", "Le quartier {town} montre 12 points.", "La station de {town} double presque le seuil de 12 %.", "Par ailleurs, le fichier EPW de {town} dépasse 3 °C.",
     "However, the {town} district misses the reading at 16:00.", "Der Vorplatz von {town} zeigt 14 K.", "La plaza de {town} reduce la media de 12 h.", "In trial 4051 the rugged lattice beside {town} reflected 527 bricks.", "Crew {town} noted ring 3682 above 443 lumens.", "L'équipe {town} nota que chaque auvent brillait.", "import numpy as np", "I'll say DON'T SHOUT", "--------------------\nDie Station {town} zeigt 4 K.", "--------------------\nThe Canyon model shows it.", "context: BECAUSE THE ROOF OF {town} SHADED 12 BRICKS", "THE KEEN AWNING BESIDE {town} BUFFERED A SALLOW ROOF FOR 12 MINUTES", "Q: QUEL TOIT OPAQUE PROCHE DE {town}", "IN TRIAL 12 THE JAGGED TERRACE BESIDE {town} COOLED IT", "PENDANT 12 MINUTES DERRIÈRE LE TOIT", "Champ de vent initial. Carte d'ombrage.",
     "El barrio {town} desplaza 11 °C.", "Because the canopy of {town} filtered 8485 bricks, 226 panels stayed dry.", "Le relevé LiDAR de {town} explique la moyenne du mois de juin.", "LCZ class 3 exceeds the April average. Note that Our DSM shifts it.", "Das Viertel {town} verfehlt das Mittel für Februar bei Westwind.", "Sauf erreur. Le Modèle suit la grille 3.", "reached at 16:00 at 36 m",
@@ -115,7 +115,7 @@ def _id(r: random.Random) -> str:
 def _email(r: random.Random) -> str:
     given, family = plain(r.choice(sorted(GIVEN))), plain(_surname(r))
     local = r.choice((f"{given}{r.randint(1950, 2005)}", f"{given}-{family}+dpe", f"{given[0]}{family}", f"contact.{family}", f"{family}_{r.randint(1, 99)}"))
-    host, tld = r.choice(("atelier-nord", "bureau", "grid-lab", "ville.peyrac", "obs.orval", "mairie-clermonde")), r.choice(("example", "invalid", "test", "fr", "org"))
+    host, tld = r.choice(("atelier-nord", "bureau", "grid-lab", "ville.peyrac", "obs.orval", "mairie-clermonde")), r.choice(("example", "invalid", "test", "fr", "org", "com", "museum"))
     how = r.random()
     if how < 0.5:
         s = f"{local}@{host}.{tld}"
