@@ -85,9 +85,9 @@ def st_expand(s, d):
     return b.select("id", (F.col("b.xmin") - 3).alias("xmin"), (F.col("b.ymax") + 3).alias("ymax"))
 
 
-@query("st_intersects", "SELECT a.id AS a, b.id AS b FROM f_building a JOIN f_landcover b ON a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin AND b.class_id = 3")
+@query("st_intersects", "SELECT a.id AS a, b.id AS b FROM f_building a JOIN f_landcover b ON a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin")
 def st_intersects(s, d):
-    return J.boxes_that_meet(view(s, d, B), view(s, d, "f_landcover").where("class_id = 3"), 64.0).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return J.boxes_that_meet(view(s, d, B), view(s, d, "f_landcover"), 64.0).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 @query("st_contains", "SELECT a.id AS a, b.id AS b FROM f_landcover a JOIN f_building b ON b.xmin >= a.xmin AND b.xmax <= a.xmax AND b.ymin >= a.ymin AND b.ymax <= a.ymax")

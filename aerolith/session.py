@@ -53,3 +53,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/aerolith/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` has left in the shared folder; call it when no result of the session is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/aerolith")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
