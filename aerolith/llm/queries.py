@@ -33,6 +33,11 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("site_id", "day", "field", "n", *[F.col("percentiles")[i].alias(f"p{round(s * 100):02d}") for i, s in enumerate(SHARES)], "rank_bound")
 
 
+def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values of utci and tmr count for each site and day."""
+    return _cells(spark, folder).where(~F.isnan("value")).groupBy("site_id", "day", "field").agg(F.count("value").alias("n")).where("n > 0")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as token ids of the 50k byte-level vocabulary."""
     return encode(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
@@ -56,5 +61,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", one).select("doc_id", F.col("x.kinds").alias("kind"), F.col("x.starts").alias("start_pos"), F.col("x.ends").alias("end_pos"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p7_ids, p8_found, p9_found, p9_redacted)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_counts, p7_ids, p8_found, p9_found, p9_redacted)}
+ORACLES = {
+    "p1_counts": """
+WITH last AS (SELECT site_id, time, y, x, MAX(loaded_at) AS loaded_at FROM comfort_cells GROUP BY site_id, time, y, x),
+c AS (SELECT DISTINCT site_id, time, y, x, utci, tmr FROM comfort_cells JOIN last USING (site_id, time, y, x, loaded_at)),
+v AS (SELECT site_id, CAST(time AS DATE) AS day, 'utci' AS field, utci AS value FROM c UNION ALL SELECT site_id, CAST(time AS DATE), 'tmr', tmr FROM c)
+SELECT site_id, day, field, CAST(COUNT(*) AS BIGINT) AS n FROM v WHERE value IS NOT NULL AND NOT isnan(value) AND value <> -9999 GROUP BY site_id, day, field""",
+}
