@@ -60,7 +60,6 @@ def roof_zone(m: DataFrame) -> DataFrame:
 
 def canyon_zone(m: DataFrame) -> DataFrame:
     """Ground between a block and the next one inside its cavity: points with ``r``, their place between the walls."""
-    a, b = m.alias("a"), m.alias("b")
     size = 64.0
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
     up = m.withColumn("cx", cells(F.col("xmin"), F.col("xmax"))).withColumn("cy", cells(F.col("ymin") - F.col("cavity"), F.col("ymin"))).alias("a")
@@ -70,7 +69,6 @@ def canyon_zone(m: DataFrame) -> DataFrame:
     x0, x1 = F.greatest("a.xmin", "b.xmin"), F.least("a.xmax", "b.xmax")
     here = F.floor(x0 / size) == F.col("a.cx")
     pairs = up.join(down, meet).where((gap > 0) & (gap < F.col("a.cavity")) & here).select(F.col("a.id").alias("id"), F.col("b.id").alias("next_id"), F.least("a.h", "b.h").alias("h"), x0.alias("xmin"), x1.alias("xmax"), F.col("b.ymax").alias("y0"), F.col("a.ymin").alias("y1"))
-    del a, b
     g = _generated(pairs, F.col("xmin"), F.col("xmax"), F.col("y0"), F.col("y1"))
     return g.withColumns({"y_wall": F.col("y1"), "dy": F.col("y1") - F.col("y"), "gap": F.col("y1") - F.col("y0")}).withColumn("r", F.col("dy") / F.col("gap"))
 
@@ -176,11 +174,9 @@ def adjust(u: np.ndarray, v: np.ndarray, w: np.ndarray, solid: np.ndarray, round
             moved += np.abs(step).sum()
         if moved <= tolerance * max(np.abs(lam).sum(), 1e-12):
             break
-    inner = lam[1:-1, 1:-1, 1:-1]
     uf += cu * np.diff(lam[:, 1:-1, 1:-1], axis=0)
     vf += cv * np.diff(lam[1:-1, :, 1:-1], axis=1)
     wf += cw * np.diff(lam[1:-1, 1:-1, :], axis=2)
-    del inner
     return (uf[1:] + uf[:-1]) / 2, (vf[:, 1:] + vf[:, :-1]) / 2, (wf[:, :, 1:] + wf[:, :, :-1]) / 2, n
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import joins as J
 from ..session import cut, shared_folder
 from ..sources import formats as X
 from .base import Book, view
@@ -444,4 +443,3 @@ def comfort_collect_csv(s, d):
 
 
 QUERIES, ORACLES = book.queries, book.oracles
-_ = J

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,15 +128,11 @@ def _segments(s: SparkSession, d: str) -> DataFrame:
 
 @query("filter_facade_upwind", _SEGMENTS + "SELECT id, k, ROUND(azimuth, 6) AS azimuth, len FROM az WHERE azimuth > 0.000001 AND azimuth < pi() - 0.000001")
 def filter_facade_upwind(s: SparkSession, d: str) -> DataFrame:
-    import math
-
     return _segments(s, d).where((F.col("azimuth") > 1e-6) & (F.col("azimuth") < math.pi - 1e-6)).withColumn("azimuth", F.round("azimuth", 6))
 
 
 @query("filter_facade_downwind", _SEGMENTS + "SELECT id, k, ROUND(azimuth, 6) AS azimuth, len FROM az WHERE azimuth > pi() + 0.000001")
 def filter_facade_downwind(s: SparkSession, d: str) -> DataFrame:
-    import math
-
     return _segments(s, d).where(F.col("azimuth") > math.pi + 1e-6).withColumn("azimuth", F.round("azimuth", 6))
 
 
@@ -561,7 +559,7 @@ def limit_one_srid(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, B).select(F.lit(2154).alias("srid")).limit(1)
 
 
-@query("chunked", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS chunk FROM f_station2" .replace("f_station2", "(SELECT sid AS id FROM f_station) t"))
+@query("chunked", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS chunk FROM (SELECT sid AS id FROM f_station) t")
 def chunked(s: SparkSession, d: str) -> DataFrame:
     """Chunks of a hundred in order of the id: the rank comes from a sort by range and counts per partition, no single task sees all rows."""
     return J.ranked(view(s, d, "f_station").select(F.col("sid").alias("id")), "id").select("id", F.floor(F.col("rank") / 100).alias("chunk"))
