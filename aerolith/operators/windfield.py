@@ -7,12 +7,16 @@ below each point's ceiling. Zones that meet at a cell are settled by one aggrega
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.wind import zone_lengths
+from ..session import cut
 
 MESH, DZ = 5.0, 5.0
 #: Priority of zones at a cell; wakes only weaken what others say.
@@ -144,56 +148,228 @@ def full_field(cells: DataFrame, solid: DataFrame, i_cells: tuple[int, int], j_c
     return x.select("i", "j", "k", part("u", 0.0).alias("u"), part("v", 1.0).alias("v"), part("w", 0.0).alias("w"), F.coalesce("s", F.lit(False)).alias("solid"))
 
 
-def adjust(u: np.ndarray, v: np.ndarray, w: np.ndarray, solid: np.ndarray, rounds: int = 500, tolerance: float = 1e-4, omega: float = 1.78) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The nearest field without divergence: faces of a staggered grid, a Poisson equation for the multiplier by red-black successive over-relaxation, walls closed."""
-    ni, nj, nk = solid.shape
-    open_ = ~solid
-    uf, vf, wf = np.zeros((ni + 1, nj, nk)), np.zeros((ni, nj + 1, nk)), np.zeros((ni, nj, nk + 1))
-    uf[1:-1] = (u[1:] + u[:-1]) / 2
-    uf[0], uf[-1] = u[0], u[-1]
-    vf[:, 1:-1] = (v[:, 1:] + v[:, :-1]) / 2
-    vf[:, 0], vf[:, -1] = v[:, 0], v[:, -1]
-    wf[:, :, 1:-1] = (w[:, :, 1:] + w[:, :, :-1]) / 2
-    wall = lambda s, axis: np.concatenate([np.take(s, [0], axis), np.maximum(np.delete(s, 0, axis), np.delete(s, -1, axis)), np.take(s, [-1], axis)], axis)
-    su, sv, sw = wall(solid, 0), wall(solid, 1), wall(solid, 2)
-    sw[:, :, 0] = True
-    uf[su], vf[sv], wf[sw] = 0, 0, 0
-    div = (uf[1:] - uf[:-1]) + (vf[:, 1:] - vf[:, :-1]) + (wf[:, :, 1:] - wf[:, :, :-1])
-    cu, cv, cw = (~su).astype(float), (~sv).astype(float), (~sw).astype(float)
-    diag = cu[1:] + cu[:-1] + cv[:, 1:] + cv[:, :-1] + cw[:, :, 1:] + cw[:, :, :-1]
-    diag[diag == 0] = 1
-    lam = np.zeros((ni + 2, nj + 2, nk + 2))
-    colour = np.indices(solid.shape).sum(0) % 2
-    n = 0
+def _walls(s: np.ndarray, axis: int) -> np.ndarray:
+    """Faces along ``axis`` that touch a solid cell; outer faces take the edge cell's state."""
+    return np.concatenate([np.take(s, [0], axis), np.maximum(np.delete(s, 0, axis), np.delete(s, -1, axis)), np.take(s, [-1], axis)], axis)
+
+
+def _staggered(u: np.ndarray, v: np.ndarray, w: np.ndarray, solid: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Speeds on the faces between cells along each axis, none through walls or ground, and which faces are open (1.0)."""
+    speeds, opened = [], []
+    for axis, a in enumerate((u, v, w)):
+        first, last = np.take(a, [0], axis), np.take(a, [-1], axis)
+        f = np.concatenate([first, (np.delete(a, 0, axis) + np.delete(a, -1, axis)) / 2, last], axis)
+        closed = _walls(solid, axis)
+        if axis == 2:
+            closed[:, :, 0] = True
+            f[:, :, -1] = 0
+        speeds.append(np.where(closed, 0.0, f))
+        opened.append((~closed).astype(float))
+    return speeds, opened
+
+
+def _ends(a: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The faces before and after each cell."""
+    return np.delete(a, -1, axis), np.delete(a, 0, axis)
+
+
+def _divergence(speeds: list[np.ndarray]) -> np.ndarray:
+    return sum(np.diff(f, axis=axis) for axis, f in enumerate(speeds))
+
+
+def _relaxed(lam: np.ndarray, opened: list[np.ndarray], div: np.ndarray, free: np.ndarray, rounds: int, tolerance: float, omega: float) -> tuple[np.ndarray, int, bool]:
+    """The multiplier after red-black successive over-relaxation, the rounds, and whether the relative step came below ``tolerance``. ``lam`` has a border of one cell;
+    only ``free`` cells change. Rows are padded to odd lengths, so that the two colours are the even and the odd places of the flat array, and each is an array of its own."""
+    ni, nj, nk = free.shape
+    pj, pk = (nj + 2) | 1, (nk + 2) | 1
+    inner = (slice(1, ni + 1), slice(1, nj + 1), slice(1, nk + 1))
+
+    def wide(a: np.ndarray) -> np.ndarray:
+        z = np.zeros((ni + 2, pj, pk))
+        z[inner] = a
+        return z.ravel()
+
+    flat = np.zeros((ni + 2, pj, pk))
+    flat[:, : nj + 2, : nk + 2] = lam
+    halves = [flat.ravel()[c::2].copy() for c in (0, 1)]
+    before, after = zip(*(_ends(o, axis) for axis, o in enumerate(opened)))
+    diag = sum(before) + sum(after)
+    scale = omega * free / np.where(diag == 0, 1, diag)
+    lo, hi = pj * pk, (ni + 1) * pj * pk
+    plan = []
+    for c in (1, 0):
+        m0, m1 = (lo - c + 1) // 2, (hi - c + 1) // 2
+        half = lambda x, c=c, m0=m0, m1=m1: wide(x)[c::2][m0:m1].copy()
+        terms = []
+        for axis, stride in enumerate((pj * pk, pk, 1)):
+            for coef, s in ((before[axis], -stride), (after[axis], stride)):
+                at = (c + s - (1 - c)) // 2
+                terms.append((half(scale * coef), halves[1 - c][m0 + at : m1 + at]))
+        plan.append((halves[c][m0:m1], half(scale * div), half(omega * free), terms))
+    n, small = 0, False
+    part = [(np.empty_like(own), np.empty_like(own)) for own, *_ in plan]
     for n in range(1, rounds + 1):
-        moved = 0.0
-        for c in (0, 1):
-            near = cu[1:] * lam[2:, 1:-1, 1:-1] + cu[:-1] * lam[:-2, 1:-1, 1:-1] + cv[:, 1:] * lam[1:-1, 2:, 1:-1] + cv[:, :-1] * lam[1:-1, :-2, 1:-1] + cw[:, :, 1:] * lam[1:-1, 1:-1, 2:] + cw[:, :, :-1] * lam[1:-1, 1:-1, :-2]
-            step = np.where((colour == c) & open_, omega * ((near + div) / diag - lam[1:-1, 1:-1, 1:-1]), 0)
-            lam[1:-1, 1:-1, 1:-1] += step
-            moved += np.abs(step).sum()
-        if moved <= tolerance * max(np.abs(lam).sum(), 1e-12):
+        moved = total = 0.0
+        for (own, fixed, weight, terms), (step, x) in zip(plan, part):
+            np.multiply(weight, own, out=x)
+            np.subtract(fixed, x, out=step)
+            for coef, other in terms:
+                np.multiply(coef, other, out=x)
+                step += x
+            own += step
+            moved += np.abs(step, out=step).sum()
+        total = sum(np.abs(own, out=x).sum() for (own, *_), (_, x) in zip(plan, part))
+        if moved <= tolerance * max(total, 1e-12):
+            small = True
             break
-    uf += cu * np.diff(lam[:, 1:-1, 1:-1], axis=0)
-    vf += cv * np.diff(lam[1:-1, :, 1:-1], axis=1)
-    wf += cw * np.diff(lam[1:-1, 1:-1, :], axis=2)
-    return (uf[1:] + uf[:-1]) / 2, (vf[:, 1:] + vf[:, :-1]) / 2, (wf[:, :, 1:] + wf[:, :, :-1]) / 2, n
-
-
-def solved(field: DataFrame, domain: str, rounds: int = 500) -> DataFrame:
-    """``field`` corrected, each ``domain`` (a bounded piece of ground, or one case of a sweep) by itself: (domain, i, j, k, u, v, w, rounds). Cells that a domain's box lacks are open and still."""
-
-    def kernel(t: pa.Table) -> pa.Table:
-        at = [t.column(c).to_numpy() - t.column(c).to_numpy().min() for c in "ijk"]
-        shape = tuple(int(a.max()) + 1 for a in at)
-        grids = {c: np.zeros(shape) for c in "uvw"}
-        solid = np.zeros(shape, bool)
-        for c in "uvw":
-            grids[c][tuple(at)] = t.column(c).to_numpy()
-        solid[tuple(at)] = t.column("solid").to_numpy()
-        u, v, w, n = adjust(grids["u"], grids["v"], grids["w"], solid, rounds)
-        out = {c: t.column(c) for c in (domain, "i", "j", "k")}
-        return pa.table(out | {"u": u[tuple(at)], "v": v[tuple(at)], "w": w[tuple(at)], "rounds": pa.array([n] * t.num_rows, pa.int32())})
+    for c in (0, 1):
+        flat.ravel()[c::2] = halves[c]
+    return flat[:, : nj + 2, : nk + 2], n, small
+
+
+def _centred(speeds: list[np.ndarray], opened: list[np.ndarray], lam: np.ndarray) -> list[np.ndarray]:
+    """Speeds at cell centres after the correction by the multiplier, which has a border of one cell."""
+    out = []
+    for axis in range(3):
+        inside = tuple(slice(None) if a == axis else slice(1, -1) for a in range(3))
+        before, after = _ends(speeds[axis] + opened[axis] * np.diff(lam[inside], axis=axis), axis)
+        out.append((before + after) / 2)
+    return out
+
+
+def adjust(u: np.ndarray, v: np.ndarray, w: np.ndarray, solid: np.ndarray, rounds: int = 500, tolerance: float = 1e-4, omega: float = 1.78) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The nearest field without divergence: faces of a staggered grid, a Poisson equation for the multiplier by red-black successive over-relaxation, walls closed."""
+    speeds, opened = _staggered(u, v, w, solid)
+    lam, n, _ = _relaxed(np.zeros(tuple(x + 2 for x in solid.shape)), opened, _divergence(speeds), ~solid, rounds, tolerance, omega)
+    return *_centred(speeds, opened, lam), n
+
+
+#: Columns of a piece's side, and how far it reaches into its neighbours.
+PIECE, OVERLAP = 64, 12
 
+
+class NotConverged(RuntimeError):
+    """The multiplier still moves after all rounds."""
+
+
+def _box(t: pa.Table, pi: int, pj: int) -> tuple[np.ndarray, np.ndarray, tuple[slice, slice, slice], np.ndarray]:
+    """Of a piece's cells: first corner, places, the slices of its core, and which cells it may change (all but those that only its neighbours' multiplier fills)."""
+    cells = np.stack([t.column(c).to_numpy() for c in "ijk"])
+    low = cells.min(1)
+    at = cells - low[:, None]
+    shape = at.max(1) + 1
+    core, own = [], np.ones(shape, bool)
+    for axis, p in enumerate((pi, pj)):
+        core.append(slice(max(p * PIECE - low[axis], 0), max(min((p + 1) * PIECE - low[axis], shape[axis]), 0)))
+        ids = np.arange(shape[axis]) + low[axis]
+        edge = (ids < p * PIECE - OVERLAP) | (ids >= (p + 1) * PIECE + OVERLAP)
+        own[(slice(None),) * axis + (edge,)] = False
+    return low, at, (core[0], core[1], slice(0, shape[2])), own
+
+
+def solved(field: DataFrame, domain: str, rounds: int = 500, tolerance: float = 1e-4) -> DataFrame:
+    """``field`` (i, j, k, u, v, w, solid; ``v`` runs with j) corrected, each ``domain`` (ground of any extent, or one case of a sweep) by itself: (domain, i, j, k, u, v, w, rounds).
+    Cells that a domain's box lacks are open and still.
+
+    One Poisson problem per domain, by overlapping pieces: each relaxes its columns with the multiplier that its neighbours found beyond them, then all exchange, until the
+    multiplier of the whole domain moves by less than ``tolerance`` between exchanges. Raises NotConverged if that takes more than ``rounds`` rounds of relaxation in all.
+    """
+    spark = field.sparkSession
     kind = field.schema[domain].dataType.simpleString()
-    return field.groupBy(domain).applyInArrow(kernel, f"`{domain}` {kind}, i bigint, j bigint, k bigint, u double, v double, w double, rounds int")
+    key = f"`{domain}` {kind}, pi bigint, pj bigint"
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - OVERLAP - 1) / PIECE), F.floor((F.col(c) + OVERLAP + 1) / PIECE)))
+    rows = field.select(domain, "i", "j", "k", "u", "v", "w", "solid").withColumn("pi", near("i")).withColumn("pj", near("j"))
+    names = (domain, "pi", "pj")
+    dims, blobs = ("i0", "j0", "k0", "ni", "nj", "nk"), ("u", "v", "w", "solid")
+
+    def packed(t: pa.Table) -> pa.Table:
+        pi, pj = t.column("pi")[0].as_py(), t.column("pj")[0].as_py()
+        low, at, core, _ = _box(t, pi, pj)
+        shape = at.max(1) + 1
+        if core[0].start >= core[0].stop or core[1].start >= core[1].stop:
+            return empty
+        out = {n: t.column(n).slice(0, 1) for n in names} | {n: pa.array([int(x)]) for n, x in zip(dims, (*low, *shape))}
+        for c in blobs:
+            a = np.zeros(shape, bool if c == "solid" else float)
+            a[tuple(at)] = t.column(c).to_numpy(zero_copy_only=False)
+            out[c] = pa.array([a.tobytes()], pa.binary())
+        return pa.table(out)
+
+    typed = to_arrow_type(field.schema[domain].dataType)
+    empty = pa.table({domain: pa.array([], typed)} | {n: pa.array([], pa.int64()) for n in (*names[1:], *dims)} | {c: pa.array([], pa.binary()) for c in blobs})
+    pieces = cut(rows.groupBy(*names).applyInArrow(packed, f"{key}, {', '.join(f'{n} bigint' for n in dims)}, {', '.join(f'{c} binary' for c in blobs)}"))
+
+    def opened_box(t: pa.Table) -> tuple:
+        one = {n: t.column(n)[0].as_py() for n in t.column_names}
+        shape, low = tuple(one[n] for n in dims[3:]), np.array([one[n] for n in dims[:3]])
+        u, v, w = (np.frombuffer(one[c]).reshape(shape) for c in "uvw")
+        solid = np.frombuffer(one["solid"], bool).reshape(shape)
+        cells = pa.table({c: pa.array(x.ravel() + low[n]) for n, (c, x) in enumerate(zip("ijk", np.indices(shape)))})
+        _, _, core, own = _box(cells, one["pi"], one["pj"])
+        return one, shape, low, _staggered(u, v, w, solid), solid, core, own
+
+    def multiplier(shape: tuple, low: np.ndarray, parts: pa.Table) -> np.ndarray:
+        lam = np.zeros(tuple(x + 2 for x in shape))
+        for p in parts.to_pylist():
+            at = tuple(slice(a - b + 1, a - b + 1 + n) for a, b, n in zip((p["i0"], p["j0"], p["k0"]), low, (p["ni"], p["nj"], p["nk"])))
+            lam[at] = np.frombuffer(p["lam"]).reshape(p["ni"], p["nj"], p["nk"])
+        return lam
+
+    sent = f"{key}, {', '.join(f'{n} bigint' for n in dims)}, lam binary, moved double, total double, rounds int, small boolean"
+    inner = tolerance / 10
+
+    def relax(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def relaxed(t: pa.Table, parts: pa.Table) -> pa.Table:
+            """The piece's new multiplier, sent to itself and to whichever neighbour reads a part of it."""
+            out = {c: [] for c in (*names, *dims, "lam", "moved", "total", "rounds", "small")}
+            if t.num_rows:
+                one, shape, low, (speeds, opened), solid, core, own = opened_box(t)
+                old = multiplier(shape, low, parts)
+                lam, n, small = _relaxed(old, opened, _divergence(speeds), ~solid & own, most, inner, 1.78)
+                inside = (slice(1, -1),) * 3
+                mine, was = lam[inside][core], old[inside][core]
+                first = [core[0].start + low[0], core[1].start + low[1], low[2]]
+                for di in (-1, 0, 1):
+                    for dj in (-1, 0, 1):
+                        cutout, start = [], []
+                        for axis, (p, d) in enumerate(((one["pi"], di), (one["pj"], dj))):
+                            q = p + d
+                            a, b = max(q * PIECE - OVERLAP - 1 - first[axis], 0), min((q + 1) * PIECE + OVERLAP + 1 - first[axis], mine.shape[axis])
+                            cutout.append(slice(a, b))
+                            start.append(first[axis] + a)
+                        part = np.ascontiguousarray(mine[cutout[0], cutout[1]])
+                        if not part.size:
+                            continue
+                        self_ = di == dj == 0
+                        values = (one[domain], one["pi"] + di, one["pj"] + dj, *map(int, start), int(low[2]), *part.shape, part.tobytes(), float(np.abs(mine - was).sum()) if self_ else 0.0, float(np.abs(mine).sum()) if self_ else 0.0, n, small)
+                        for c, x in zip(out, values):
+                            out[c].append(x)
+            types = {domain: typed, "lam": pa.binary(), "moved": pa.float64(), "total": pa.float64(), "rounds": pa.int32(), "small": pa.bool_()}
+            return pa.table({c: pa.array(x, types.get(c, pa.int64())) for c, x in out.items()})
+
+        return relaxed
+
+    parts, used = spark.createDataFrame([], sent), 0
+    while True:
+        most = rounds - used
+        if most <= 0:
+            raise NotConverged(f"the multiplier moves by more than {tolerance} of itself after {used} rounds")
+        parts = cut(pieces.groupBy(*names).cogroup(parts.groupBy(*names)).applyInArrow(relax(most), sent))
+        state = parts.groupBy(domain).agg(F.sum("moved").alias("m"), F.sum("total").alias("t"), F.max("rounds").alias("n"), F.bool_and("small").alias("s"))
+        worst = state.agg(F.max(F.col("m") / F.greatest("t", F.lit(1e-12))), F.max("n"), F.bool_and("s")).first()
+        if worst[0] is None:
+            break
+        used += worst[1]
+        if worst[2] and worst[0] <= tolerance:
+            break
+
+    def corrected(t: pa.Table, p: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({domain: pa.array([], typed)} | {c: pa.array([], pa.int64()) for c in "ijk"} | {c: pa.array([], pa.float64()) for c in "uvw"} | {"rounds": pa.array([], pa.int32())})
+        one, shape, low, (speeds, opened), _, core, _ = opened_box(t)
+        mid = _centred(speeds, opened, multiplier(shape, low, p))
+        at = [x[core].ravel() + low[n] for n, x in enumerate(np.indices(shape))]
+        out = {domain: pa.array([one[domain]] * len(at[0]), typed)} | dict(zip("ijk", at)) | {c: x[core].ravel() for c, x in zip("uvw", mid)}
+        return pa.table(out | {"rounds": pa.array(np.full(len(at[0]), used, np.int32))})
+
+    return pieces.groupBy(*names).cogroup(parts.groupBy(*names)).applyInArrow(corrected, f"`{domain}` {kind}, i bigint, j bigint, k bigint, u double, v double, w double, rounds int")

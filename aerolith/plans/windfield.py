@@ -265,11 +265,15 @@ def wind_staggered(s, d):
     return x.withColumn("face", face).groupBy("k").agg(r6(F.avg("face"), "v_face"))
 
 
+def _solved(s, d) -> DataFrame:
+    """The corrected field of the whole ground, one domain; ``v`` runs north here and in the solver, south in the zones' frame."""
+    return V.solved(_field(s, d).withColumns({"case": F.lit(0), "v": -F.col("v")}), "case")
+
+
 @query("wind_sor_solver")
 def wind_sor_solver(s, d):
-    """The field made free of divergence, by pieces of 32 x 32 columns."""
-    x = _field(s, d).withColumn("piece", F.floor(F.col("i") / 32) * 1000 + F.floor(F.col("j") / 32))
-    return V.solved(x, "piece", 60).groupBy("k").agg(F.count("*").alias("cells"), r6(F.avg("v"), "v"), r6(F.avg(F.abs("w")), "w"))
+    """The field made free of divergence, and the rounds that it took; ``v`` runs south."""
+    return _solved(s, d).groupBy("k").agg(F.count("*").alias("cells"), r6(F.avg(-F.col("v")), "v"), r6(F.avg(F.abs("w")), "w"), F.max("rounds").alias("rounds"))
 
 
 @query("wind_recentre_rotate", "SELECT sid, ROUND(3 * cos(-0.5) - 2 * sin(-0.5), 6) AS u, ROUND(3 * sin(-0.5) + 2 * cos(-0.5), 6) AS v FROM f_station")
