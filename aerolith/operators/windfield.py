@@ -84,7 +84,7 @@ def levelled(points: DataFrame, ceiling: Column) -> DataFrame:
 
 
 def factors(m: DataFrame) -> DataFrame:
-    """(i, j, k, zone, y_wall, h, u, v, w): the share of the reference speed that each zone gives each of its cells; ``v`` runs south."""
+    """(i, j, k, zone, id, next_id, y_wall, h, u, v, w): the share of the reference speed that each zone gives each of its cells; ``v`` runs south. ``next_id`` is the block at a canyon's end."""
     h, z, r = F.col("h"), F.col("z"), F.col("r")
     disp = levelled(upstream_zone(m, "displacement"), 0.6 * h * F.sqrt(1 - r))
     vort = levelled(upstream_zone(m, "vortex"), 0.5 * h * F.sqrt(1 - r))
@@ -102,7 +102,8 @@ def factors(m: DataFrame) -> DataFrame:
     }
     out = None
     for name, (df, v, w) in parts.items():
-        one = df.select("i", "j", "k", F.lit(name).alias("zone"), "y_wall", "h", zero.alias("u"), v.alias("v"), w.alias("w"))
+        end = F.col("next_id") if name == "canyon" else F.lit(None).cast(m.schema["id"].dataType)
+        one = df.select("i", "j", "k", F.lit(name).alias("zone"), "id", end.alias("next_id"), "y_wall", "h", zero.alias("u"), v.alias("v"), w.alias("w"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -129,6 +130,72 @@ def superimposed(zones: DataFrame, wakes: DataFrame) -> DataFrame:
     return x.select("i", "j", "k", F.coalesce("b.zone", F.lit("wake")).alias("zone"), F.coalesce(F.col("b.u") * f, F.lit(0.0)).alias("u"), F.coalesce(F.col("b.v") * f, "wk.v").alias("v"), F.coalesce(F.col("b.w"), F.lit(0.0)).alias("w"))
 
 
+def backward_facades(m: DataFrame) -> DataFrame:
+    """(id, next_id, i, j, k, gap, y_back, h_back): the last cells of canyons where the cavity of the block before stands above the block behind, and the level above that block's roof.
+    The flow over the roof is then turned back."""
+    last = canyon_zone(m).groupBy("id", "next_id", "i").agg(F.min("j").alias("j"), F.first("x").alias("x"), F.first("gap").alias("gap"))
+    before = m.select("id", F.col("h").alias("above"), "cavity", "xmin", "xmax", "ymin")
+    behind = m.select(F.col("id").alias("next_id"), F.col("h").alias("below"), F.col("ymax").alias("y_back"))
+    x = last.join(before, "id").join(behind, "next_id")
+    x = x.withColumns({"reach": F.col("cavity") * F.sqrt(F.greatest(1 - F.pow(_across(), 2), F.lit(0.0))), "dy": F.col("ymin") - (F.col("j") + 0.5) * MESH, "h_back": F.least("above", "below")})
+    top = F.col("above") * F.sqrt(F.greatest(1 - F.pow(F.try_divide("dy", "reach"), 2), F.lit(0.0)))
+    return x.where((F.col("dy") <= F.col("reach")) & (top > F.col("h_back"))).select("id", "next_id", "i", "j", F.floor(F.col("h_back") / DZ).alias("k"), "gap", "y_back", "h_back")
+
+
+def without_turned(zones: DataFrame, facades: DataFrame) -> DataFrame:
+    """``zones`` without the canyons, and the roofs behind them, over which the flow is turned back."""
+    turned = facades.select("id", "next_id", "i").distinct()
+    canyon = turned.select(F.lit("canyon").alias("zone"), "id", "next_id", "i")
+    roof = turned.select(F.lit("rooftop").alias("zone"), F.col("next_id").alias("id"), F.lit(None).cast(turned.schema["id"].dataType).alias("next_id"), "i").distinct()
+    gone = canyon.unionByName(roof).alias("g")
+    z = zones.alias("z")
+    same = (F.col("z.zone") == F.col("g.zone")) & (F.col("z.id") == F.col("g.id")) & (F.col("z.i") == F.col("g.i")) & F.col("z.next_id").eqNullSafe(F.col("g.next_id"))
+    return z.join(gone, same, "left_anti")
+
+
+def backward(m: DataFrame, facades: DataFrame, cells: DataFrame) -> DataFrame:
+    """(i, j, k, zone, u, v, w): cavities and wakes of the blocks over which the flow is turned back, mirrored to their north walls, times the speed found above the roof's edge."""
+    at = cells.select("i", "j", "k", F.abs("v").alias("weight"))
+    f = facades.join(at, ["i", "j", "k"]).select("next_id", "i", F.col("j").alias("j_wall"), "gap", "y_back", "h_back", "weight")
+
+    def mirrored(points: DataFrame) -> DataFrame:
+        p = points.select(F.col("id").alias("next_id"), "i", "dy", "r", "reach", "h").join(f, ["next_id", "i"]).where(F.col("dy") < F.col("gap") + MESH)
+        return p.withColumn("j", F.col("j_wall") + F.floor(F.col("dy") / MESH))
+
+    h, z = F.col("h"), F.col("z")
+    edge = F.sqrt(F.greatest(1 - F.pow(z / h, 2), F.lit(1e-9)))
+    cav = levelled(mirrored(downstream_zone(m, "cavity")), h * F.sqrt(1 - F.pow("r", F.lit(2))))
+    wake = mirrored(downstream_zone(m, "wake")).withColumn("near", F.col("reach") / 3).where("dy > near")
+    wake = levelled(wake, h * F.sqrt(1 - F.pow("r", F.lit(2))))
+    # upstream is south here, so walls and heights count the other way round
+    key = [(-F.col("y_back")).alias("y_wall"), (-F.col("h_back")).alias("h")]
+    zero = F.lit(0.0)
+    c = cav.select("i", "j", "k", F.lit("cavity").alias("zone"), *key, zero.alias("u"), (F.pow(1 - F.least(F.col("r") / edge, F.lit(1.0)), 2) * F.col("weight")).alias("v"), zero.alias("w"))
+    k = wake.select("i", "j", "k", *key, ((-1 + F.pow(F.col("near") / F.col("dy") * edge, 1.5)) * F.col("weight")).alias("v"))
+    return superimposed(c, k).withColumn("zone", F.concat("zone", F.lit("_backward")))
+
+
+def replaced(cells: DataFrame, back: DataFrame) -> DataFrame:
+    """``cells``, those that ``back`` has too as it has them."""
+    names = ("zone", "u", "v", "w")
+    x = cells.join(back.select("i", "j", "k", *[F.col(c).alias(f"{c}_b") for c in names]), ["i", "j", "k"], "left")
+    return x.select("i", "j", "k", *[F.coalesce(f"{c}_b", c).alias(c) for c in names])
+
+
+def vegetation(patches: DataFrame) -> DataFrame:
+    """(i, j, k, f): what vegetation (xmin, ymin, xmax, ymax, top) leaves of the speed below its top, the least of overlapping patches."""
+    g = levelled(_generated(patches, F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax")), F.col("top"))
+    f = F.least(F.greatest(F.exp(0.5 * (F.col("z") / F.col("top") - 1)), F.lit(0.0)), F.lit(1.0))
+    return g.groupBy("i", "j", "k").agg(F.min(f).alias("f"))
+
+
+def weakened(cells: DataFrame, veg: DataFrame) -> DataFrame:
+    """``cells`` times vegetation's factor; where there is only vegetation, the factor alone."""
+    x = cells.join(veg, ["i", "j", "k"], "full")
+    f = F.coalesce("f", F.lit(1.0))
+    return x.select("i", "j", "k", F.coalesce("zone", F.lit("vegetation")).alias("zone"), F.coalesce(F.col("u") * f, F.lit(0.0)).alias("u"), F.coalesce(F.col("v") * f, "f").alias("v"), F.coalesce(F.col("w") * f, F.lit(0.0)).alias("w"))
+
+
 def voxels(blocks: DataFrame) -> DataFrame:
     """(i, j, k) of cells whose centre lies in a block."""
     g = _generated(blocks.where("h IS NOT NULL"), F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax"))

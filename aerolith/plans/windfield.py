@@ -224,15 +224,23 @@ def wind_factor_3d(s, d):
 @query("wind_veg_factor", f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k, ROUND(MIN(least(greatest(exp(0.5 * ((k * 5 + 2.5) / (6.0 + v.id % 10) - 1)), 0), 1)), 6) AS f FROM {_VEG} v JOIN {_I} ON (i + 0.5) * 5 BETWEEN xmin AND xmax JOIN {_J} ON (j + 0.5) * 5 BETWEEN ymin AND ymax JOIN (SELECT unnest(generate_series(0, 3)) AS k) gk ON k * 5 + 2.5 < 6.0 + v.id % 10 GROUP BY i, j, k")
 def wind_veg_factor(s, d):
     """What vegetation leaves of the speed below its top, the least of overlapping patches."""
-    veg = view(s, d, "f_landcover").where("class_id IN (5, 6, 8)").withColumn("top", 6.0 + F.col("id") % 10)
-    g = V.levelled(V._generated(veg, F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax")), F.col("top"))
-    f = F.least(F.greatest(F.exp(0.5 * (F.col("z") / F.col("top") - 1)), F.lit(0.0)), F.lit(1.0))
-    return g.groupBy("i", "j", "k").agg(r6(F.min(f), "f"))
+    return V.vegetation(_patches(s, d)).select("i", "j", "k", r6(F.col("f"), "f"))
+
+
+def _patches(s, d) -> DataFrame:
+    return view(s, d, "f_landcover").where("class_id IN (5, 6, 8)").select("xmin", "ymin", "xmax", "ymax", (6.0 + F.col("id") % 10).alias("top"))
+
+
+def _combined(blocks: DataFrame, patches: DataFrame) -> DataFrame:
+    """All zones at their cells: the most upstream ones weakened by wakes, then backward zones in their place, then vegetation."""
+    m = cut(V.measured(blocks))
+    facades = cut(V.backward_facades(m))
+    x = cut(V.superimposed(V.without_turned(V.factors(m), facades), V.wake_factors(m)))
+    return V.weakened(V.replaced(x, V.backward(m, facades, x)), V.vegetation(patches))
 
 
 def _cells(s, d) -> DataFrame:
-    m = cut(_measured(s, d))
-    return V.superimposed(V.factors(m), V.wake_factors(m))
+    return _combined(_blocks(s, d), _patches(s, d))
 
 
 @query("wind_superimpose")
