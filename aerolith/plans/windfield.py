@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import wind as W
 from ..operators import components
 from ..operators import joins as J
 from ..operators import windfield as V
@@ -170,8 +171,11 @@ _BOUNDS = "(SELECT CAST(floor(MIN(xmin) / 5) AS BIGINT) AS i0, CAST(floor(MAX(xm
 
 
 def _extent(s, d) -> tuple[tuple[int, int], tuple[int, int], int]:
+    return _bounds(view(s, d, "f_building"))
+
+
+def _bounds(b: DataFrame) -> tuple[tuple[int, int], tuple[int, int], int]:
     """Bounds of the grid: one row of five numbers."""
-    b = view(s, d, "f_building")
     e = b.agg(F.floor(F.min("xmin") / 5), F.floor(F.max("xmax") / 5), F.floor(F.min("ymin") / 5), F.floor(F.max("ymax") / 5), F.ceil(F.max("hauteur") / 5)).first()
     return (e[0] - 2, e[1] + 2), (e[2] - 2, e[3] + 2), int(e[4]) + 4
 
@@ -250,6 +254,10 @@ def wind_superimpose(s, d):
 
 @query("wind_building_voxels", f"SELECT DISTINCT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k FROM {_H} t JOIN {_I} ON (i + 0.5) * 5 BETWEEN xmin AND xmax JOIN {_J} ON (j + 0.5) * 5 BETWEEN ymin AND ymax JOIN (SELECT unnest(generate_series(0, 10)) AS k) gk ON k * 5 + 2.5 < h")
 def wind_building_voxels(s, d):
+    return _voxels(s, d)
+
+
+def _voxels(s, d) -> DataFrame:
     return V.voxels(_blocks(s, d))
 
 
@@ -293,12 +301,12 @@ def wind_recentre_rotate(s, d):
 
 @query("wind_outputs")
 def wind_outputs(s, d):
-    """Horizontal and vertical speed and direction at 12 m, between levels."""
-    x = _field(s, d).where("NOT solid")
-    lo = x.where("k = 1").select("i", "j", F.col("v").alias("v0"), F.col("w").alias("w0"))
-    hi = x.where("k = 2").select("i", "j", F.col("v").alias("v1"), F.col("w").alias("w1"))
+    """Speed and direction of the corrected field at 12 m, between levels: ``u`` to the east, ``v`` to the north, ``w`` up; direction as ``direction_of`` has it, clockwise degrees."""
+    x = _solved(s, d).join(_voxels(s, d), ["i", "j", "k"], "left_anti")
+    lo, hi = (x.where(F.col("k") == n).select("i", "j", *[F.col(c).alias(f"{c}{n}") for c in "uvw"]) for n in (1, 2))
     t = (12.0 - 7.5) / 5
-    return lo.join(hi, ["i", "j"]).select("i", "j", r6(F.col("v0") + t * (F.col("v1") - F.col("v0")), "v"), r6(F.col("w0") + t * (F.col("w1") - F.col("w0")), "w"))
+    y = lo.join(hi, ["i", "j"]).select("i", "j", *[r6(F.col(f"{c}1") + t * (F.col(f"{c}2") - F.col(f"{c}1")), c) for c in "uvw"])
+    return y.withColumns({"speed": F.round(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")), 6), "direction": F.round(W.to_degrees(W.direction_of(F.col("u"), F.col("v"))), 6)})
 
 
 @query("wind_batch")
