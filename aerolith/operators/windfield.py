@@ -335,7 +335,7 @@ def _box(t: pa.Table, pi: int, pj: int) -> tuple[np.ndarray, np.ndarray, tuple[s
 
 
 def solved(field: DataFrame, domain: str, rounds: int = 500, tolerance: float = 1e-4) -> DataFrame:
-    """``field`` (i, j, k, u, v, w, solid; ``v`` runs with j) corrected, each ``domain`` (ground of any extent, or one case of a sweep) by itself: (domain, i, j, k, u, v, w, rounds).
+    """``field`` (i, j, k, u, v, w, solid; ``v`` runs with j) corrected, each ``domain`` (ground of any extent, or one case of a sweep) by itself: (domain, i, j, k, u, v, w, solid, rounds).
     Cells that a domain's box lacks are open and still.
 
     One Poisson problem per domain, by overlapping pieces: each relaxes its columns with the multiplier that its neighbours found beyond them, then all exchange, until the
@@ -432,11 +432,11 @@ def solved(field: DataFrame, domain: str, rounds: int = 500, tolerance: float =
 
     def corrected(t: pa.Table, p: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({domain: pa.array([], typed)} | {c: pa.array([], pa.int64()) for c in "ijk"} | {c: pa.array([], pa.float64()) for c in "uvw"} | {"rounds": pa.array([], pa.int32())})
-        one, shape, low, (speeds, opened), _, core, _ = opened_box(t)
+            return pa.table({domain: pa.array([], typed)} | {c: pa.array([], pa.int64()) for c in "ijk"} | {c: pa.array([], pa.float64()) for c in "uvw"} | {"solid": pa.array([], pa.bool_()), "rounds": pa.array([], pa.int32())})
+        one, shape, low, (speeds, opened), solid, core, _ = opened_box(t)
         mid = _centred(speeds, opened, multiplier(shape, low, p))
         at = [x[core].ravel() + low[n] for n, x in enumerate(np.indices(shape))]
         out = {domain: pa.array([one[domain]] * len(at[0]), typed)} | dict(zip("ijk", at)) | {c: x[core].ravel() for c, x in zip("uvw", mid)}
-        return pa.table(out | {"rounds": pa.array(np.full(len(at[0]), used, np.int32))})
+        return pa.table(out | {"solid": solid[core].ravel(), "rounds": pa.array(np.full(len(at[0]), used, np.int32))})
 
-    return pieces.groupBy(*names).cogroup(parts.groupBy(*names)).applyInArrow(corrected, f"`{domain}` {kind}, i bigint, j bigint, k bigint, u double, v double, w double, rounds int")
+    return pieces.groupBy(*names).cogroup(parts.groupBy(*names)).applyInArrow(corrected, f"`{domain}` {kind}, i bigint, j bigint, k bigint, u double, v double, w double, solid boolean, rounds int")
