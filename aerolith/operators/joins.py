@@ -48,15 +48,17 @@ def nearest_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return within(a, b, radius).groupBy(F.col("a.id").alias("id")).agg(best).select("id", F.col("m.id").alias("near_id"), F.col("m.d").alias("dist"))
 
 
-def nearest_any(a: DataFrame, b: DataFrame, radius: float, most: int = 24) -> DataFrame:
-    """As ``nearest_within`` without a limit: what finds nothing is tried again with twice the radius, on ever fewer points, until all have found or the radius
-    has doubled ``most`` times. Each point found keeps its result, so the rounds shrink."""
-    found, rest = None, cut(a.select("id", "x", "y"))
-    for _ in range(most):
+def nearest_any(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """As ``nearest_within`` without a limit: what finds nothing is tried again with twice the radius, on ever fewer points, until all have found.
+    Each point found keeps its result, so the rounds shrink. Points without finite coordinates find nothing and are not found."""
+    finite = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in "xy")
+    found, rest, b = None, cut(a.select("id", "x", "y").where(finite)), b.where(finite)
+    lost = b.isEmpty()
+    while True:
         hit = cut(nearest_within(rest, b, radius))
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select("id"), "id", "left_anti")
-        if rest.isEmpty():
+        if lost or rest.isEmpty():
             break
         rest, radius = cut(rest), radius * 2
     return found
