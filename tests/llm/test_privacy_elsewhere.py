@@ -3,7 +3,7 @@ import functools
 import pytest
 
 from aerolith.llm.privacy import GIVEN, find, plain, weights
-from aerolith.llm.privacy_training import _FRAMES
+from aerolith.llm.privacy_training import FRAMES as _FRAMES
 
 # Phrases that are no training frame, with first names that GIVEN lacks; [ ] marks names.
 TEXTS = [
