@@ -99,7 +99,7 @@ _NINO = regex.compile(r"(?<!\w)[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)")
 _TAX = regex.compile(r"(?<![\d+])(?:\d{2} \d{3} \d{3} \d{3}|\d{11})(?!\d)")
 _FISCAL = re.compile(r"[A-Z]{6}(?<!\w.{6})\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z](?!\w)")
 #: Six digits or more with little between them; formats of numbers are tried only there.
-_RUN_OF_DIGITS = re.compile(r"\d(?:[ .\-/()  ‑]{0,3}(?:2[AB]|\d)){5,}")
+_RUN_OF_DIGITS = re.compile("\\d(?:[ .\\-/()   ‑]{0,3}(?:2[AB]|\\d)){5,}")
 
 _NUM = r"\d{1,4}(?:(?:[ ]?(?i:bis|ter|quater)|[ ]?[A-Za-z])(?![\p{L}\d'’]))?"
 _FR_TYPE = r"(?i:rue|avenue|av\.|impasse|chemin|place|quai|allée|boulevard|bd|route|cours|sentier|passage|esplanade|promenade|ruelle|voie)"
@@ -180,7 +180,7 @@ def common_words(path: str = VOCABULARY) -> dict[str, int]:
                 word = base64.b64decode(token).decode()
             except UnicodeDecodeError:
                 continue
-            if word[:1] == " " and len(word) > 3 and word[1:].isalpha() and word[2:].islower():
+            if word[:1] == " " and len(word) > 2 and word[1:].isalpha() and word[2:].islower():
                 rank[word[1:]] = int(number)
     out: dict[str, int] = {}
     for word, r in rank.items():
@@ -212,8 +212,9 @@ def _token(role: str, token: str) -> list[str]:
         f.append(f"w|{role}|hyphen")
     if "'" in token or "’" in token:
         f.append(f"w|{role}|elided " + ("l" if low[0] in "ldcjnsqm" else "o"))
-    if len(low) <= 3:
-        f.append(f"w|{role}|letters {len(low)}" + (" upper" if upper else ""))
+    f.append(f"w|{role}|letters {min(len(low), 7)}" + (" upper" if upper else ""))
+    if not any(c in "aeiouy" for c in low):
+        f.append(f"w|{role}|no vowel")
     return f + [f"w|{role}|ends {low[-3:]}", f"w|{role}|ends {low[-2:]}"]
 
 
@@ -528,8 +529,8 @@ def marginals(text: str, spans: list[Span], scores: list[float], weights: dict[s
     return [math.exp(min(0.0, a[i] + b[i] - z)) for i in range(n)], pairs
 
 
-def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 6, rate: float = 0.5, decay: float = 1e-3, vocabulary: str = VOCABULARY) -> dict[str, float]:
-    """Weights by stochastic gradient ascent on the conditional likelihood (adaptive steps, L2 penalty)."""
+def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 5, rate: float = 0.5, decay: float = 1e-3, vocabulary: str = VOCABULARY) -> dict[str, float]:
+    """Weights by stochastic gradient ascent on the conditional likelihood (adaptive steps, L2 penalty), the mean of those after each round but the first."""
     _words.update(common_words(vocabulary))
     data = []
     for text, gold in labelled:
@@ -539,7 +540,8 @@ def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 6,
             data.append((text, spans, [features(s) for s in spans], [(s.start, s.end, s.kind) in want for s in spans]))
     w: dict[str, float] = defaultdict(float)
     seen: dict[str, float] = defaultdict(lambda: 1.0)
-    for _ in range(rounds):
+    total: dict[str, float] = defaultdict(float)
+    for turn in range(rounds):
         for text, spans, fs, gold in data:
             scores = [sum(w[f] for f in x) for x in fs]
             single, pairs = marginals(text, spans, scores, w)
@@ -557,7 +559,10 @@ def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 6,
                 d -= decay * w[f]
                 seen[f] += d * d
                 w[f] += rate * d / math.sqrt(seen[f])
-    return {f: round(v, 4) for f, v in w.items() if abs(v) > 1e-2}
+        if turn:
+            for f, v in w.items():
+                total[f] += v / (rounds - 1)
+    return {f: round(v, 4) for f, v in total.items() if abs(v) > 1e-2}
 
 
 @lru_cache(maxsize=1)

@@ -36,7 +36,7 @@ _PLACE_DE = "-Schule;-Platz;-Straße;-Halle;-Gymnasium;-Brücke;-Allee;-Saal;-Ha
 _PLACE_ES = "calle;plaza;avenida;colegio;instituto;parque;puente;escuela;hospital;paseo;biblioteca;teatro;via;piazza;scuola;rua;escola;estación;barrio;sala".split(";")
 
 #: Slots: N name, T title and name, S family name alone (no case), A address, P phone, I identity number, E email, W town, D digits, U number of another kind, L capitalised words, K place named
-#: after someone, M instrument or product, H handle, R a made-up word, C a company.
+#: after someone, M instrument or product, H handle, R a made-up word, C a company, Q an abbreviation, B a noun with a capital.
 FRAMES = (
     # who acts, is asked, thanked, named
     "{N} a appelé hier.", "{N} est passé ce matin pour la clé.", "Signé : {N}", "Rédigé par {N}", "Compte rendu de {N}, le 3 mai.", "Relecture : {N}.", "Merci à {N} pour son aide.", "Merci {N} !", "Bonjour {N}, merci de votre retour.", "Bonjour {T},",
@@ -52,6 +52,13 @@ FRAMES = (
     "Pregunte a {N}.", "La llave la tiene {N}.", "{N} y {N} firmaron.", "Revisado por {N}.", "Saludos,\n{N}", "Atentamente, {N}", "el vecino {N} protesta", "{T} no estaba.", "{N} ha chiamato ieri.", "Grazie a {N}.", "Scritto da {N}", "Gentile {T},", "Obrigado a {N}.", "Escrito por {N}",
     "Nom : {N}", "Name: {N}", "Nombre: {N}", "Nom : {N}\nAdresse : {A}\nTél. : {P}\n", "{N}\n{A}\n{P}\n{E}", "{N} <{E}>", "{N} ({E})", "{N}, {A}", "{N} - {P}", "{N} / {P} / {E}", "{N}; {I}", "From: {N} <{E}>", "De : {N} <{E}>", "{N}, né le 12/03/1975, {I}", "{N}, {P}", "M. et Mme {F} sont partis.", "{R} {N} {R}.", "{R} {R} {N}", "{N} {R} {R} {R}.",
     "{R}, {N}, {R}", "{R}: {N}", "({N})", "{R} {T} {R}", "{T} {R} {R}.", "- {N}\n- {N}\n- {N}\n", "{R} {N} {K}", "{N} {R} {R} {K}.", "{N} {R} {M} {R}",
+    "Maintenance : {N}", "maintenance effectuée par {N}", "filtre changé par {N} le 12", "{N} a nettoyé l'entonnoir.", "batterie remplacée ({N})", "relève faite avec {N}", "opération confiée à {N}, technicien", "sensor swapped by {N}", "{N} cleaned the funnel.", "fault logged by {N} at 6 am", "battery changed ({N})", "Wartung durch {N}",
+    "{N} hat den Filter getauscht.", "mantenimiento a cargo de {N}", "{N} limpió el embudo.", "# author: {N}", "# {N}, 2021", "// written by {N}", "TODO({N}): tidy up", "maintainer = {N}", "Reviewed-by: {N} <{E}>", "Salut {N}, as-tu essayé ?", "@{N} merci", "comme le dit {N} plus haut", "as {N} said above", "wie {N} oben schreibt", "como dice {N}",
+    "propriétaire : {N}", "locataire : {N}, {A}", "diagnostic établi par {N}", "audit conducted by {N}", "owner: {N}", "tenant {N} reports damp", "Eigentümer: {N}", "Mieterin {N} meldet Schimmel", "propietario: {N}", "Enquêtrice : {N}", "questionnaire rempli par {N}", "interviewed {N} at home", "interviewer: {N}", "respondent {N}", "Befragt wurde {N}.", "encuestador: {N}",
+    "Sont venus {N}, puis {N}.", "Étude dirigée par {N}, thésard", "chef de projet {N}", "l'architecte {N} valide le plan", "the engineer {N} signed off", "project lead {N}", "Ingenieur {N} prüft", "la arquitecta {N} firma", "mail de {N} reçu", "email from {N}", "{N} habite à côté.", "{N} lives next door.", "{N} signale une panne.", "{N} wants a copy.",
+    "{N} confirme.", "{N} confirms.", "{N} bestätigt.", "{N} confirma.", "pour {N}", "for {N}", "für {N}", "para {N}", "de {N}", "von {N}", "with {N}", "mit {N}", "con {N}", "et {N}", "and {N}", "und {N}",
+    "Avec {N} {R}.", "Chez {N} tout va bien.", "Pour {N}", "Par {N}", "By {N}", "Von {N}", "Mit {N} {R}.", "Por {N}", "Con {N} {R}.", "Selon {N}, {R}", "Observateur {N}", "Technicienne {N}", "Observer {N}", "Engineer {N} {R}", "Techniker {N} {R}.", "Kollegin {N} {R}.", "Nachbar {N} {R}", "Vecina {N} {R}", "Ingeniero {N}", "Voisin {N} : {R}", "Today {N} {R}.",
+    "Hier {N} {R}.", "Gestern {N} {R}.", "Ayer {N} {R}.", "Ensuite {N} {R}", "Then {N} {R}", "Dann {N} {R}", "Puis {N} {R}", "{B} {N} {R}.", "Der {B} {N} {R}.", "Die {B} {N}",
     # addresses
     "Adresse : {A}", "habite au {A}", "J'habite {A}.", "Livraison au {A} avant midi.", "Rendez-vous {A} à 10 h.", "address: {A}", "She lives at {A}.", "Send it to {A}, please.", "Meet at {A} at noon.", "Deliver to {A}.", "Anschrift: {A}", "Er wohnt {A}.", "Lieferung an {A}.", "wohnhaft {A}", "Dirección: {A}", "Vive en {A}.", "Entrega en {A}.",
     "domicilio en {A}", "chez {N}, {A}", "{A}", "{A}\n", "{R} {R} {A}.", "le logement du {A} est froid", "the flat at {A} is cold", "the house ({A})", "Wohnung {A}, dritter Stock", "siège : {A}", "au {A}, deuxième étage",
@@ -64,12 +71,15 @@ FRAMES = (
     # emails
     "{E}", "mail : {E}", "Écrire à {E}.", "courriel {E}", "Email: {E}", "write to {E}", "Send the file to {E}.", "Mail an {E}", "E-Mail: {E}", "Correo: {E}", "Escriba a {E}.", "contact {E} ou {P}", "répondre à {E} merci", "{R} {E} {R}", "cc {E}, {E}", "<{E}>", "({E})",
     # none of these
+    "Le {Q} {R} {R}.", "La {Q} {R}.", "The {Q} {R} {R}.", "Der {Q} {R}.", "Das {Q} {R}", "El {Q} {R}.", "Il {Q} {R}", "Les {Q} {R}", "Un {Q} {R}.", "Die {Q} {R} {R}", "Ce {Q} {R}", "This {Q} {R}", "{B} {Q} {R} {R}.", "{W} {Q} {R}.", "Le {B} {R}.", "The {B} {R}.", "Der {B} {R}.", "Le {B} {S} {R}.", "{R}. {B} {Q} {R}.",
+    "{Q} de {W} : rien", "le {Q} de {W}", "la {Q} du {W}", "{Q} {W}", "{W} {Q}", "au {B} de {W}, {R}", "le {B} du {S} est neuf", "{B} de {W}", "{B} {Q}", "{Q} {B}", "the {Q} of {W}", "from {Q} {W}", "das {Q} {W}", "der {B} von {W}", "{B} von {W}", "la {B} de {S}", "el {B} de {W}",
+    "{Q} de {W} et {Q} de {W}", "avec {Q} {S}", "{R} {Q} de {S} {R}", "{R} {B} de {W} {R}.", "{R} {B} {B} {R}", "{W} de {W}", "{R} {W} {Q} {R}", "{Q} {B} {W}", "{R} {B} {W}.", "carte {Q} de {W}", "{Q} and {Q}", "{B} und {B}", "{R} {Q} {R}",
     "{R} {K} {R}.", "vers {K}", "{K} : 31 degrés", "à 20 m de {K}", "from {K} to {K}", "from {K}, turn left", "in der Nähe: {K}", "{K}, {W}", "{K} ({W})", "le toit de {K}", "relevés de {K} et {K}, puis {K}", "{K} shows 4 degrees", "- {K}\n- {K}\n", "arbres de {K}", "{K} messen", "hacia {K}",
     "{K} est fermé.", "Près de {K}, il fait chaud.", "devant {K}", "Mesure à {K}.", "travaux {K} et {K}", "{K}", "rénovation de {K} en 2019", "The {K} is closed.", "near {K}", "at {K} today", "Der {K} ist zu.", "bei {K}", "cerca de {K}", "en {K}", "{L}", "# {L}", "## {L}\n", "{L} :", "Le {L} est publié.", "The {L} is out.", "Das {L} ist da.",
     "El {L} ya está.", "{L} et {L}", "see {L}, section 3", "{C} a livré le matériel.", "{C} delivered it.", "contrat avec {C}", "by {C}", "par {C}", "{M} installé hier", "the {M} was calibrated", "{M}", "Gerät {M} geprüft", "nouveau {M} sur le toit", "{R} {L} {R}", "{R} {M}", "{R} {K}", "{L} {R} {R}.", "{W} et {W} sont jumelées.", "from {W} to {W}", "zwischen {W} und {W}",
     "Mairie de {W}", "{W}, le 4 juin", "Prévisions pour {W} et {W}", "ref {U}", "n° {U}", "commande {U}", "SIRET {U}", "série {U}", "lot {U}", "order {U}", "ticket {U}", "invoice no. {U}", "Rechnung {U}", "pedido {U}", "id {U}", "code {U}", "ISBN {U}", "version {U}", "{U}", "{U} {U} {U}", "valeurs {U}", "le {U}", "serial {U}", "IP {U}",
-    "coordonnées {U}", "parcel {U}", "{R} {U}", "total {U} kWh", "compteur {U}", "{U};{U};{U}", "Zählerstand {U}", "{H} a répondu", "merci {H}", "thanks {H}", "@{H}", "posted by {H}", "{H}: ok", "image {H}@2x.png", "git clone git@host:{R}/{R}.git", "3 points @ 4 m", "matrix a@b is singular", "meet at noon at the station", "look at example. com is down",
-    "12 places de parking", "20 rue(s) concernées", "rue de la Gare barrée", "Main Street is closed", "Bahnhofstraße gesperrt", "2 m de la route nationale", "3 Street trees per block", "between 5 and 7 Hill plots", "pont de {W}", "ligne 12 place de la gare", "Saint {S} reste calme", "{S} est une marque", "vent {S} fort", "le 12 avenue prochaine", "5 court meetings",
+    "coordonnées {U}", "parcel {U}", "{R} {U}", "total {U} kWh", "compteur {U}", "{U};{U};{U}", "Zählerstand {U}", "{H} a répondu", "merci {H}", "thanks {H}", "@{H}", "posted by {H}", "{H}: ok", "image {H}@2x.png", "{R}@2x.png", "x@0.5.txt", "p@5s.dat", "k@7m.nc", "{R} q@3h.csv {R}", "git clone git@host:{R}/{R}.git", "3 points @ 4 m", "matrix a@b is singular", "meet at noon at the station", "look at example. com is down",
+    "12 places de parking", "20 rue(s) concernées", "rue de la Gare barrée", "Main Street is closed", "Bahnhofstraße gesperrt", "2 m de la route nationale", "3 Street trees per block", "between 5 and 7 trees", "pont de {W}", "ligne 12 place de la gare", "Saint {S} reste calme", "{S} est une marque", "vent {S} fort", "le 12 avenue prochaine", "5 court meetings",
     "Bonjour Monsieur,", "Dear Sir,", "Sehr geehrte Damen und Herren,", "Chère Madame,", "Bonjour à tous", "Hello World", "Hi All,", "Merci Beaucoup", "Bonne Année", "Good Morning", "Guten Tag", "Buenos Días", "Vielen Dank", "Mr President", "Monsieur le Maire", "Madame la Présidente", "{L}. {L}.", "Le {R} {R}. La {R}.", "In {R} Der {R}", "Il {R}. Elle {R}. On {R}.",
 )
 _KIND = {"N": "name", "T": "name", "F": "name", "A": "address", "P": "phone", "I": "id_number", "E": "email"}
@@ -280,6 +290,10 @@ def _company(r: random.Random) -> str:
     return _pick(r, [f"{f} SA", f"{f} & Fils", f"{f} GmbH", f"{f} Ltd", f"société {f}", f"{f} Énergie", f"{f} Group", f"cabinet {f}", f"{f} Consulting", f"Groupe {f}", f"{f} Systems", f"Firma {f}", f"{f} SARL"])
 
 
+def _noun(r: random.Random) -> str:
+    return _capitals(r).split()[0].title() if r.random() < 0.5 else _built(r, _TAIL + _TOWN_TAIL)
+
+
 def _capitals(r: random.Random) -> str:
     x = r.random()
     if x < 0.5:
@@ -299,7 +313,7 @@ def _handle(r: random.Random) -> str:
 
 _MAKE = {
     "N": person, "F": family, "S": family, "A": address, "P": phone, "I": identity, "E": email, "W": town, "D": lambda r: _digits(r, r.choice((6, 15))), "U": other_number, "L": _capitals, "K": _place, "M": _made,
-    "H": _handle, "R": _word, "C": _company,
+    "H": _handle, "R": _word, "C": _company, "Q": lambda r: "".join(_pick(r, "ABCDEFGHILMNOPRSTUV") for _ in range(r.randint(2, 5))), "B": _noun,
 }
 
 
@@ -311,6 +325,8 @@ def fill(frame: str, r: random.Random) -> tuple[str, list[tuple[int, int, str]]]
     def plain_words(s: str) -> str:
         return re.sub(r"(?<![\w{])[a-zà-ÿ]{3,}(?!\w)", lambda m: _word(r) if r.random() < 0.7 else m[0], s) if strange else s
 
+    if frame[0].isalpha() and r.random() < 0.3:
+        frame = frame[0].upper() + frame[1:]
     for m in _SLOT.finditer(frame):
         before = plain_words(frame[at : m.start()])
         at = m.end()
@@ -335,12 +351,17 @@ def fill(frame: str, r: random.Random) -> tuple[str, list[tuple[int, int, str]]]
     return text, labels
 
 
-def sentences(repeats: int = 10, seed: int = 7, frames: tuple[str, ...] = FRAMES) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """``repeats`` sentences of every frame, in a random but fixed order."""
+#: Text without personal information is the rule: frames without any are repeated so many times as often.
+OTHERS = 3
+
+
+def sentences(repeats: int = 8, seed: int = 7, frames: tuple[str, ...] = FRAMES, others: int = OTHERS) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``repeats`` sentences of every frame, ``others`` times as many of those without a label, in a random but fixed order."""
     from .privacy import _words, common_words
 
     _words.update(common_words())
     r = random.Random(seed)
-    out = [fill(f, r) for f in frames for _ in range(repeats)]
+    labelled = [any(m in _KIND or m == "T" for m in _SLOT.findall(f)) for f in frames]
+    out = [fill(f, r) for f, yes in zip(frames, labelled, strict=True) for _ in range(repeats if yes else repeats * others)]
     r.shuffle(out)
     return out
