@@ -193,6 +193,11 @@ def common_words(path: str = VOCABULARY) -> dict[str, int]:
 _words: dict[str, int] = {}
 
 
+def know(common: dict[str, int]) -> None:
+    """Let this process know the common words. (A worker gets this function by name; a table that the kernel itself names would be a copy.)"""
+    _words.update(common)
+
+
 # Feature functions: what a part of a segment says, from hashable arguments, so that its score is computed once and remembered.
 def _token(role: str, token: str) -> list[str]:
     """A word of a name in its place: first, inner, last or only."""
@@ -531,7 +536,7 @@ def marginals(text: str, spans: list[Span], scores: list[float], weights: dict[s
 
 def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 5, rate: float = 0.5, decay: float = 1e-3, vocabulary: str = VOCABULARY) -> dict[str, float]:
     """Weights by stochastic gradient ascent on the conditional likelihood (adaptive steps, L2 penalty), the mean of those after each round but the first."""
-    _words.update(common_words(vocabulary))
+    know(common_words(vocabulary))
     data = []
     for text, gold in labelled:
         spans = candidates(text)
@@ -591,7 +596,7 @@ def detect(documents: DataFrame, row_id: str, text: str, vocabulary: str = VOCAB
     kind = documents.schema[row_id].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _words.update(common)
+        know(common)
         score = Scorer(w)
         for b in batches:
             out: dict[str, list] = {"kinds": [], "starts": [], "ends": [], "redacted": []}

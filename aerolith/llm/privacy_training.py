@@ -357,9 +357,9 @@ OTHERS = 3
 
 def sentences(repeats: int = 8, seed: int = 7, frames: tuple[str, ...] = FRAMES, others: int = OTHERS) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``repeats`` sentences of every frame, ``others`` times as many of those without a label, in a random but fixed order."""
-    from .privacy import _words, common_words
+    from .privacy import common_words, know
 
-    _words.update(common_words())
+    know(common_words())
     r = random.Random(seed)
     labelled = [any(m in _KIND or m == "T" for m in _SLOT.findall(f)) for f in frames]
     out = [fill(f, r) for f, yes in zip(frames, labelled, strict=True) for _ in range(repeats if yes else repeats * others)]

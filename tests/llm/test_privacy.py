@@ -96,3 +96,11 @@ def test_rows(spark):
     assert got[3].redacted == "🌳 Call [PHONE] before noon." and (got[3].starts, got[3].ends) == ([7], [20])
     assert got[4].kinds == ["name"] and got[4].redacted.endswith("Contact: [NAME]\n🌳 fin")
     assert detect(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
+
+
+def test_workers_find_what_the_driver_finds(spark):
+    """The workers know the common words too."""
+    texts = [text for text, _ in training.sentences(1, 4242)]
+    w = weights()
+    got = {r.i: [tuple(x) for x in zip(r.starts, r.ends, r.kinds)] for r in detect(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t").collect()}
+    assert got == {i: [(s.start, s.end, s.kind) for s in find(t, w)] for i, t in enumerate(texts)}
