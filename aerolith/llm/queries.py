@@ -65,10 +65,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation items and the documents that hold ten successive words of them: of which part, and whether the answer stands there too."""
+    items = table(spark, folder, "eval_items", "item_id", "passage", "question", "answer")
+    return find_leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", ("passage", "question"), "answer")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Evaluation items and the documents that hold ten successive words of them."""
-    items = table(spark, folder, "eval_items", "item_id", "passage", "question")
-    return find_leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", ("passage", "question"))
+    return p8_report(spark, folder).select("item_id", "doc_id")
 
 
 def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +87,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", one).select("doc_id", F.col("x.kinds").alias("kind"), F.col("x.starts").alias("start_pos"), F.col("x.ends").alias("end_pos"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_counts, p1_within, p7_ids, p8_found, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_counts, p1_within, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
 _VALUES = """
 WITH last AS (SELECT site_id, time, y, x, MAX(loaded_at) AS loaded_at FROM comfort_cells GROUP BY site_id, time, y, x),
 c AS (SELECT DISTINCT site_id, time, y, x, utci, tmr FROM comfort_cells JOIN last USING (site_id, time, y, x, loaded_at)),
