@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.timekeys import hour_label, minutes_of_key
 from ..operators.gridding import regular_grid
 from ..operators.imputation import fill_sky, sky_records
-from ..operators.proximity import contained, located, near_pairs
+from ..operators.proximity import contained, located, near_pairs, point_tree
 from ..operators.spikes import flag_implausible
 from ..operators.units import minute_of, other_units, resolve_units
-from ..session import cut
 from ..sources.tables import table
 
 
@@ -65,7 +64,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of points at most 15 m apart, and the zone that contains each point."""
-    p = cut(located(table(spark, folder, "building_points", "point_id", "lon", "lat"), "point_id", "lon", "lat"))
+    p = point_tree(located(table(spark, folder, "building_points", "point_id", "lon", "lat"), "point_id", "lon", "lat"))
     near = near_pairs(p, 15.0).select(F.lit("near").alias("relation"), "a_id", "b_id")
     inside = contained(p, table(spark, folder, "lcz_zones", "zone_id", "geometry"), "zone_id", "geometry")
     return near.unionByName(inside.select(F.lit("inside").alias("relation"), F.col("id").alias("a_id"), F.col("region").alias("b_id")))

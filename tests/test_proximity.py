@@ -56,3 +56,36 @@ def test_inside(spark):
         if hit % 2:
             want.add((i, 10))
     assert got == want
+
+
+def test_tree_discards_accepts_and_refines(spark):
+    """100 000 points in one crowded quarter but apart: few pairs of leaves are left; 2 000 on one spot: accepted without a distance."""
+    from aerolith.operators.proximity import FAN, LEAF, near_leaves, point_tree
+
+    r = np.random.default_rng(9)
+    n = 100_000
+    side = 320  # about 10 m apart, every point has few neighbours
+    k = np.arange(n)
+    lon, lat = 2 + (k % side) * 1.35e-4 + r.uniform(0, 1e-5, n), 48 + (k // side) * 9e-5 + r.uniform(0, 1e-5, n)
+    pts = spark.createDataFrame([(int(i), float(x), float(y)) for i, x, y in zip(k, lon, lat, strict=True)] + [(int(n + i), 7.0, -30.0) for i in range(2000)], "id bigint, lon double, lat double")
+    tree = point_tree(pts)
+    leaves = tree.leaves.count()
+    assert leaves <= (n + 2000) / LEAF + 64 and tree.height >= 2 and FAN == 64
+    left = near_leaves(tree, 15.0)
+    certain, open_ = left.where("certain").count(), left.where("not certain").count()
+    assert 60 * 61 // 2 <= certain <= 70 * 71 // 2  # the spot's leaves, all pairs of them
+    assert leaves <= open_ < 16 * leaves  # of 5 million pairs
+    assert near_pairs(tree, 15.0).where("a_id >= 100000").count() == 2000 * 1999 // 2
+
+
+def test_inside_ragged(spark):
+    """A long ragged region over many cells, against the rule applied to all edges."""
+    r = np.random.default_rng(3)
+    top = [(i / 50, 1 + 0.3 * math.sin(i) + r.uniform(0, 0.4)) for i in range(200)]
+    ring = [*top, (4.0, -0.5), (0.0, -0.5), top[0]]
+    wkt = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in ring) + "))"
+    xy = r.uniform((-0.2, -0.7), (4.2, 2.0), (4000, 2))
+    got = {x.id for x in contained(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id bigint, lon double, lat double"), spark.createDataFrame([("r", wkt)], "z string, g string"), "z", "g").collect()}
+    (ring,) = rings_of_wkt(wkt)
+    want = {i for i, (x, y) in enumerate(xy) if sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:], strict=True)) % 2}
+    assert got == want
