@@ -196,7 +196,7 @@ class Index:
             bound, ends = 0.0, len(self.items)
             for c in cursors[: p + 1]:
                 t = c[2]
-                at = c[1] if c[0] == pivot else c[1] + int(np.searchsorted(unit[c[1] : start[t + 1]], pivot))
+                at = c[1] if c[0] == pivot else c[1] + int(unit[c[1] : start[t + 1]].searchsorted(pivot))
                 if at < start[t + 1]:
                     block = (at - int(start[t])) // BLOCK
                     bound += float(self.block_most[self.block_start[t] + block])
@@ -213,7 +213,7 @@ class Index:
                 ahead, moved = pivot, [c for c in cursors[:p] if c[0] < pivot]
             for c in moved:
                 end = int(start[c[2] + 1])
-                c[1] += int(np.searchsorted(unit[c[1] : end], ahead))
+                c[1] += int(unit[c[1] : end].searchsorted(ahead))
                 c[0] = int(unit[c[1]]) if c[1] < end else -1
             cursors = [c for c in cursors if c[0] >= 0]
 
