@@ -53,6 +53,7 @@ class Unit:
         """The factor from this unit to ``other``; a flux is held over ``seconds`` where the other is its sum. None: not comparable."""
         if self.dimension == other.dimension:
             return self.scale / other.scale
+        # A flux and its sum: they differ by a second.
         gap = [a - b for a, b in zip(self.dimension, other.dimension, strict=True)]
         if gap == [0, 0, -1, 0, 0]:
             return self.scale * seconds / other.scale
@@ -61,6 +62,14 @@ class Unit:
         return None
 
 
+def convert(value: float, unit: Unit, other: Unit, seconds: float = 3600.0) -> float | None:
+    """``value`` of ``unit`` in ``other``, with the offsets of temperature scales (a difference or a rate of temperatures has none). None: not comparable."""
+    factor = unit.to(other, seconds)
+    if factor is None:
+        return None
+    return value * factor + (unit.offset - other.offset) / other.scale
+
+
 _ATOM = re.compile(
     r"(?i:(?P<pre>hecto|kilo|mega|milli|centi)?(?P<long>" + "|".join(f"(?P<x_{k}>{v})" for k, v in _NAMES.items()) + r"|okta|tenth|percent|fraction|inhg|mmhg|torr|atm|wh|cal))"
     r"(?P<e1>\^?-?[1-9])?(?![A-Za-z])|(?P<p2>[hkMmc])?(?P<short>Pa|pa|PA|bar|Wh|W|J|m|s|h|K|kt|ly|cal|w|j)(?P<e2>\^?-?[1-9])?(?![A-Za-z])"
@@ -104,6 +113,7 @@ def units_in(text: str) -> list[Unit]:
                 break
             f = _factor(nxt)
             sign = -1 if over else 1
+            # A product or quotient counts differences, so its parts' offsets are gone.
             unit = Unit(tuple(a + sign * b for a, b in zip(unit.dimension, f.dimension, strict=True)), unit.scale * f.scale**sign)  # type: ignore[arg-type]
             pos = nxt.end()
         out.append(unit)

@@ -150,7 +150,7 @@ def fit(df: DataFrame, numeric: tuple[Numeric, ...], categories: tuple[Category,
     kinds = [F.when(F.col(c.name).between(0, c.size - 1), F.col(c.name)).cast("int").alias(c.name) for c in categories]
     q = df.select(*[_clean(n).alias(n) for n in names], *cell, *kinds)
     cells = q.groupBy(*[f"c_{n}" for n in names], *cats).agg(F.count("*").cast("double").alias("w"), *[F.avg(n).alias(n) for n in names]).select(*names, *cats, "w")
-    cells = cut(cells.coalesce(16))
+    cells = cut(cells)
     spark, d, k = df.sparkSession, len(names), components
 
     moments = cells.agg(*[e for n in names for e in (F.sum(F.when(F.col(n).isNotNull(), F.col("w"))), F.sum(F.col("w") * F.col(n)), F.sum(F.col("w") * F.col(n) * F.col(n)))]).first()

@@ -149,7 +149,7 @@ def _span(axis: str) -> Column:
 def dual(a: Tree, b: Tree, axes: tuple[str, ...], apart: Column, certain: Column, own: bool = False) -> DataFrame:
     """(a_key, b_key, certain) of the pairs of leaves that are left when pairs of nodes that are ``apart`` are discarded with all below them, and ``certain`` ones split no more than to their leaves. ``own``: both trees are one, each pair once."""
     height = max(a.height, b.height)
-    pairs = a.leaves.sparkSession.range(1).select(F.lit(0).cast("long").alias("a_key"), F.lit(0).cast("long").alias("b_key"), F.lit(False).alias("certain"))
+    pairs = a.leaves.sparkSession.range(1).select(F.col("id").alias("a_key"), F.col("id").alias("b_key"), F.lit(False).alias("certain"))
     for k in range(height - 1, -1, -1) if height else [0]:
         side = {n: t.level(k).select(F.col("key").alias(f"{n}_child"), F.col("up").alias(f"{n}_key"), *[F.col(f"{c}_{e}").alias(f"{n}_{c}_{e}") for c in axes for e in ("lo", "hi")]) for n, t in (("a", a), ("b", b))}
         pairs = pairs.join(side["a"], "a_key").join(side["b"], "b_key").where(F.col("certain") | ~apart)

@@ -5,8 +5,8 @@ with a third of all rows is many tasks and a spike at a block's edge still sees
 
 1. physical bounds, per quantity;
 2. run lengths: windows of ``stuck`` successive readings whose values span no more than the quantity's tolerance;
-3. a Hampel filter: rolling median of ``HALF`` readings on either side, against the median absolute deviation of the
-   block. Readings beyond it are candidates; an exact check then asks that one to three successive candidates leave the line
+3. a Hampel filter: rolling median of ``HALF`` readings on either side, against the rolling median absolute deviation of ``SCALE`` readings
+   (moving on by half of that, so that spells with many spikes do not set their own measure). Readings beyond it are candidates; an exact check then asks that one to three successive candidates leave the line
    between their neighbours, all to one side, by ``leave`` times the source's usual step (the 90th percentile of the changes
    between successive readings), and so come back. What is found is taken out and the rest judged again, until nothing is found.
 """
@@ -21,9 +21,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HALF = 3
+HALF, SCALE = 3, 48
 HAMPEL = 2.5
-ROUNDS = 12
 
 
 @dataclass(frozen=True)
@@ -79,13 +78,19 @@ def stuck_mask(values: np.ndarray, q: Quantity, n: int) -> np.ndarray:
 
 
 def hampel(values: np.ndarray, floor: float) -> np.ndarray:
-    """Distance of each value to the rolling median, in robust standard deviations."""
+    """Distance of each value to the rolling median, in robust standard deviations of the ``SCALE`` readings around it (``floor / 3`` at least)."""
     k = min(HALF, (len(values) - 1) // 2)
     if k < 1:
         return np.zeros(len(values))
     w = sliding_window_view(np.pad(values, k, mode="reflect"), 2 * k + 1)
-    r = np.abs(values - np.partition(w, k, axis=1)[:, k])
-    return r / max(1.4826 * np.median(r), floor / 3)
+    off = np.abs(values - np.partition(w, k, axis=1)[:, k])
+    if len(off) <= SCALE:
+        return off / max(1.4826 * np.median(off), floor / 3)
+    hop = SCALE // 2
+    some = sliding_window_view(off, SCALE)[::hop]
+    spread = np.median(some, axis=1)
+    nearest = np.clip((np.arange(len(off)) - hop + hop // 2) // hop, 0, len(spread) - 1)
+    return off / np.maximum(1.4826 * spread, floor / 3)[nearest]
 
 
 def spike_mask(times: np.ndarray, values: np.ndarray, q: Quantity, longest: int, fewest: int) -> np.ndarray:
@@ -96,7 +101,7 @@ def spike_mask(times: np.ndarray, values: np.ndarray, q: Quantity, longest: int,
     step = max(np.quantile(np.abs(np.diff(values)), 0.9), q.least_step)
     need = q.leave * step
     alive = np.arange(len(values))
-    for _ in range(ROUNDS):
+    while True:  # every round but the last takes readings out
         v, t = values[alive], times[alive]
         n = len(v)
         if n < fewest:

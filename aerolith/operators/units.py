@@ -15,13 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.unitgrammar import QUANTITY_NAMES, read_note
+from ..functions.unitgrammar import CANONICAL, QUANTITY_NAMES, read_note, units_in
 from ..session import cut
 
-#: Factors to J/cm² of an hour: J/cm², W/m² (or Wh/m²), kJ/m², MJ/m².
-ENERGY = (1.0, 0.36, 0.1, 100.0)
-#: Factors to hPa: hPa, Pa, kPa, inches of mercury, millimetres of mercury.
-PRESSURE = (1.0, 0.01, 10.0, 33.86389, 1.33322368)
+
+
+def _factors(quantity: str, *texts: str) -> tuple[float, ...]:
+    return tuple(round(units_in(t)[0].to(CANONICAL[quantity]), 9) for t in texts)
+
+
+#: Factors to J/cm² of an hour, and to hPa, of the units in which stations are known to report, read by the grammar.
+ENERGY = _factors("GLO", "J/cm²", "W/m²", "kJ/m²", "MJ/m²")
+PRESSURE = _factors("PSTAT", "hPa", "Pa", "kPa", "inHg", "mmHg")
+PA, KPA, INHG, MMHG = PRESSURE[1:]
 #: Infrared radiation of a sky, J/cm² in an hour: its middle, and how far (in logarithms) a reading may be off.
 INFRARED, INFRARED_OFF = 110.0, 0.85
 #: Share of the horizontal direct and diffuse parts that global radiation comes to, and the sum from which it is held against them.
@@ -78,11 +84,12 @@ def resolve_units(readings: DataFrame, feeds: DataFrame, keep: tuple[str, ...] =
     cannot be a reading in its unit), ``x_value`` (canonical, null where missing) and ``x_raw`` (as stored); then the columns ``keep`` as they are.
 
     A null remark or note says nothing; a row without a feed is judged with its station's other rows without one. Of feeds that
-    overlap the later one counts; repeated feeds and readings change nothing. Negative values of cloud cover and infrared radiation, and infrared 0, stand for no value.
+    overlap the later one counts; of rows of one feed the least counts, repeated readings change nothing. Negative values of cloud cover and infrared radiation, and infrared 0, stand for no value.
     Empty input gives an empty result; other columns are ignored.
     """
     w = Window.partitionBy("f_station").orderBy("f_from", "feed_id")
-    f = feeds.select("feed_id", F.col("station_id").alias("f_station"), minute_of("valid_from").alias("f_from"), minute_of("valid_to").alias("f_to"), "note").dropDuplicates(["feed_id"])
+    f = feeds.select("feed_id", F.col("station_id").alias("f_station"), minute_of("valid_from").alias("f_from"), minute_of("valid_to").alias("f_to"), "note")
+    f = f.groupBy("feed_id").agg(F.min(F.struct("f_station", "f_from", "f_to", "note")).alias("f")).select("feed_id", "f.*")
     f = f.withColumn("f_to", F.least(F.coalesce("f_to", F.lit(1 << 40)), F.coalesce(F.lead("f_from").over(w), F.lit(1 << 40))))
     names = ("obs_id", "station_id", "minute", "arrived", "ALTI", "PSTAT", "INFRAR", "GLO", "DIR", "DIF", "N", "remark")
     r = readings.select(*names, *[F.col(c).alias(f"keep_{c}") for c in keep]).withColumn("at", F.coalesce("minute", "arrived"))
@@ -126,7 +133,7 @@ def resolve_units(readings: DataFrame, feeds: DataFrame, keep: tuple[str, ...] =
         F.coalesce(sky, F.lit(1.0)).alias("u_n"),
         F.col("note.PSTAT").alias("u_pstat"),
     )
-    feed_units = cut(feed_units.coalesce(8))
+    feed_units = cut(feed_units)
 
     # Each row.
     x = fed(r).join(feed_units, F.col("feed") == F.col("u_feed"), "left").withColumn("said", F.when(F.col("remark").isNotNull(), note_factors("remark")))
@@ -143,8 +150,8 @@ def resolve_units(readings: DataFrame, feeds: DataFrame, keep: tuple[str, ...] =
 
     p = F.col("PSTAT")
     expected = 1013.25 * F.pow(1 - 2.25577e-5 * F.least(F.col("ALTI"), F.lit(9000.0)), 5.25588)
-    low_unknown = F.coalesce("said.PSTAT", F.when(F.col("u_pstat").isin(1.33322368, 1.0), F.col("u_pstat")), F.lit(1.0))
-    by_range = F.when(p > 4000, 0.01).when(p > 825, 1.0).when(p > 300, low_unknown).when(p > 38, 10.0).otherwise(33.86389)
+    low_unknown = F.coalesce("said.PSTAT", F.when(F.col("u_pstat").isin(MMHG, 1.0), F.col("u_pstat")), F.lit(1.0))
+    by_range = F.when(p > 4000, PA).when(p > 825, 1.0).when(p > 300, low_unknown).when(p > 38, KPA).otherwise(INHG)
     by_altitude = F.when(F.col("ALTI").isNotNull() & ~F.isnan("ALTI"), _nearest(p, PRESSURE, expected))
     x = x.withColumn("PSTAT_factor", F.when(p > 0, F.coalesce(F.when((p * by_altitude).between(expected / 1.13, expected * 1.13), by_altitude), "said.PSTAT", by_range)).otherwise(1.0)).withColumn("PSTAT_missing", ~_present("PSTAT"))
 

@@ -27,6 +27,11 @@ def p2_flags(spark: SparkSession, folder: str) -> DataFrame:
     return flag_implausible(_hourly(spark, folder, "T", "TD", "U", "FF"), "obs_id", "station_id", "minute")
 
 
+def p2_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Each physically impossible value of T, TD, U and FF by itself."""
+    return p2_flags(spark, folder).where("reason = 'bound'").select("obs_id", "field")
+
+
 def p3_grid(spark: SparkSession, folder: str) -> DataFrame:
     """One value of T per station and grid period."""
     stations = table(spark, folder, "stations", "station_id", "step_hours").withColumn("step_minutes", F.col("step_hours") * 60)
@@ -70,7 +75,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.unionByName(inside.select(F.lit("inside").alias("relation"), F.col("id").alias("a_id"), F.col("region").alias("b_id")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p3_found, p3_grid, p4_found, p4_canonical, p5_found, p5_filled, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_bounds, p3_found, p3_grid, p4_found, p4_canonical, p5_found, p5_filled, p6_found)}
 
 _SLOTS = r"""
 WITH k AS (SELECT station_id, T, trim(regexp_replace(AAAAMMJJHH, '[\s\x{00a0}\x{2009}\x{202f}\x{200b}\x{feff}]+', ' ', 'g')) AS key FROM station_hourly WHERE T IS NOT NULL AND NOT isnan(T) AND AAAAMMJJHH IS NOT NULL),
@@ -88,6 +93,9 @@ q AS (SELECT g.station_id, g.step, g.slot, g.slot * g.step AS start, COALESCE(n.
 """
 _LABEL = "strftime(TIMESTAMP '1970-01-01 00:00:00' + to_minutes(CAST({0} AS INTEGER)), '%Y%m%d%H')"
 ORACLES = {
+    "p2_bounds": """
+SELECT obs_id, 'T' AS field FROM station_hourly WHERE NOT isnan(T) AND (T < -60 OR T > 60) UNION ALL SELECT obs_id, 'TD' FROM station_hourly WHERE NOT isnan(TD) AND (TD < -75 OR TD > 45)
+UNION ALL SELECT obs_id, 'U' FROM station_hourly WHERE NOT isnan(U) AND (U < 0 OR U > 100) UNION ALL SELECT obs_id, 'FF' FROM station_hourly WHERE NOT isnan(FF) AND (FF < 0 OR FF > 75)""",
     "p3_found": f"{_SLOTS} SELECT station_id, {_LABEL.format('start')} AS slot FROM q WHERE n = 0",
     "p3_grid": _SLOTS
     + f"""

@@ -38,13 +38,15 @@ def test_company_leaves_the_row_out(spark):
 
 
 def test_heldout_accuracy(spark, folder):
+    """A fifth of the known values is hidden before anything is computed from them, then filled."""
     from aerolith.plans.problems import _resolved
+    from aerolith.session import cut
     from aerolith.sources.tables import table
 
-    rec = sky_records(_resolved(spark, folder, "T"), table(spark, folder, "stations", "station_id", "dep"))
-    m = fit(rec, SKY_NUMBERS, SKY_CATEGORIES)
-    known = rec.where("INFRAR IS NOT NULL AND N IS NOT NULL AND INFRAR_near IS NOT NULL")
-    hidden = known.selectExpr("obs_id", "CAST(NULL AS FLOAT) AS INFRAR", "T", "INFRAR_near", "CAST(NULL AS TINYINT) AS N", "N_near")
-    j = fill(hidden, m, SKY_NUMBERS, SKY_CATEGORIES, "obs_id", ("INFRAR", "N")).join(known.selectExpr("obs_id", "INFRAR AS x", "N AS true_n"), "obs_id")
-    e = j.selectExpr("sqrt(avg(pow(INFRAR - x, 2))) AS rmse", "stddev(x) AS sd", "avg(CASE WHEN abs(N - true_n) <= 1 THEN 1.0 ELSE 0.0 END) AS near").first()
-    assert e.rmse < 0.6 * e.sd and e.near > 0.7
+    res = cut(_resolved(spark, folder, "T").selectExpr("obs_id", "station_id", "minute", "INFRAR_value", "N_value", "T", "pmod(xxhash64(obs_id, 'held'), 5) = 0 AS held"))
+    shown = res.selectExpr("obs_id", "station_id", "minute", "CASE WHEN NOT held THEN INFRAR_value END AS INFRAR_value", "CASE WHEN NOT held THEN N_value END AS N_value", "T")
+    got = fill_sky(sky_records(shown, table(spark, folder, "stations", "station_id", "dep")))
+    j = got.join(res.where("held").selectExpr("obs_id", "INFRAR_value AS x", "N_value AS true_n"), "obs_id")
+    e = j.selectExpr("sqrt(avg(pow(INFRAR - x, 2))) AS rmse", "stddev(x) AS sd", "avg(CASE WHEN true_n IS NULL THEN NULL WHEN abs(N - true_n) <= 1 THEN 1.0 ELSE 0.0 END) AS near", "bool_and(INFRAR_filled AND N_filled) AS filled", "count(x) AS n").first()
+    print(e)
+    assert e.filled and e.n > 200 and e.rmse < 0.7 * e.sd and e.near > 0.4  # few stations share a department at this scale

@@ -31,6 +31,18 @@ def test_spike(spark, size):
     assert found(spark, rows(t)) == {(100 + i, "T", "spike") for i in range(size)}
 
 
+def test_many_layers_of_spikes():
+    """Spikes of growing height, some beside each other: rounds go on until none is left."""
+    q = GROUND_STATION[0]
+    v = np.full(3000, 10.0) + np.tile([0.0, 0.3], 1500)
+    at = np.concatenate([np.arange(20, 2980, 40), np.arange(25, 2980, 160), np.arange(29, 2980, 320)])
+    for i, k in enumerate(at):
+        v[k] += 20 + 3 * i
+    want = np.zeros(3000, bool)
+    want[at] = True
+    assert (spike_mask(np.arange(3000.0) * 60, v, q, 3, 8) == want).all()
+
+
 def test_four_in_a_row_is_weather(spark):
     t = course(200)
     t[100:106] += 12

@@ -1,6 +1,6 @@
 import pytest
 
-from aerolith.functions.unitgrammar import CANONICAL, read_note, read_quantity, units_in
+from aerolith.functions.unitgrammar import CANONICAL, convert, read_note, read_quantity, units_in
 from aerolith.operators.units import other_units, resolve_units
 
 
@@ -16,6 +16,13 @@ def test_notes(text, want):
     assert read_note(text) == pytest.approx(want)
 
 
+def test_offsets():
+    f, c, k = (units_in(u)[0] for u in ("°F", "°C", "kelvin"))
+    assert convert(212.0, f, c) == pytest.approx(100) and convert(-40.0, f, c) == pytest.approx(-40) and convert(0.0, c, k) == pytest.approx(273.15)
+    assert convert(300.0, k, f) == pytest.approx(80.33) and convert(1.0, units_in("hPa")[0], c) is None
+    assert convert(9.0, units_in("°F/h")[0], units_in("°C/h")[0]) == pytest.approx(5) and convert(1013.25, units_in("hPa")[0], units_in("atm")[0]) == pytest.approx(1)
+
+
 def test_dimensions():
     assert units_in("J cm^-2")[0].to(CANONICAL["GLO"]) == pytest.approx(1)
     assert units_in("W m^-2")[0].to(CANONICAL["GLO"]) == pytest.approx(0.36)
