@@ -113,13 +113,6 @@ def st_intersection(s, d):
     return x.select("id", r6(G.area(F.col("clipped")), "area"))
 
 
-@query("st_difference", f"SELECT id, ROUND({_W} * {_L} * 3 / 4, 6) AS area FROM f_building")
-def st_difference(s, d):
-    q = G.box_ring(F.col("xmin"), F.col("ymin"), (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2)
-    x = clip.clipped(_b(s, d).select("id", G.area(_g()).alias("whole"), "geom", q.alias("q")), "geom", "q")
-    return x.select("id", r6(F.col("whole") - G.area(F.col("clipped")), "area"))
-
-
 @query("st_split", f"SELECT id, CAST(k AS INTEGER) AS part, ROUND({_W} * {_L} / 2, 6) AS area FROM f_building CROSS JOIN (SELECT unnest([0, 1]) AS k) g")
 def st_split(s, d):
     """Each ring cut along its vertical middle."""

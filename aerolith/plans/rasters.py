@@ -368,92 +368,7 @@ def urock_veg_hex(s, d):
     return p.select("oid", "lno", F.round(G.area(F.col("hex")), 6).alias("area"), h.alias("max_height"), (0.25 * h).alias("min_height"), F.lit(1.0).alias("attenuatio"))
 
 
-# Overlays -----------------------------------------------------------------------------------------------------------------------------------
-
-_MEET = "f_building b JOIN f_landcover c ON b.xmin < c.xmax AND b.xmax > c.xmin AND b.ymin < c.ymax AND b.ymax > c.ymin"
-_CUT = f"SELECT b.id AS building_id, c.id AS tile_id, c.class_id, ROUND((least(b.xmax, c.xmax) - greatest(b.xmin, c.xmin)) * (least(b.ymax, c.ymax) - greatest(b.ymin, c.ymin)), 6) AS area FROM {_MEET}"
-
-
-def _overlay(s, d):
-    """Buildings cut by land cover tiles: candidates by cells, then polygon clipping in Arrow batches."""
-    a, b = G.with_box(view(s, d, B)), G.with_box(view(s, d, L))
-    pairs = J.boxes_that_meet(a, b, 64.0).select(F.col("a.id").alias("building_id"), F.col("b.id").alias("tile_id"), F.col("b.class_id").alias("class_id"), F.col("a.geom").alias("g"), F.col("b.geom").alias("t"))
-    return clip.clipped(pairs, "g", "t").where("clipped IS NOT NULL").select("building_id", "tile_id", "class_id", F.round(G.area(F.col("clipped")), 6).alias("area")).where("area > 0")
-
-
-@query("overlay_intersection", _CUT)
-def overlay_intersection(s, d):
-    return _overlay(s, d)
-
-
-@query("clip", f"SELECT building_id, ROUND(SUM(area), 6) AS area FROM ({_CUT}) t GROUP BY building_id")
-def clip_layer(s, d):
-    return _overlay(s, d).groupBy("building_id").agg(F.round(F.sum("area"), 6).alias("area"))
-
-
-_LEFT = f"SELECT c.id, ROUND((c.xmax-c.xmin)*(c.ymax-c.ymin) - COALESCE(SUM(t.area), 0), 6) AS area FROM f_landcover c LEFT JOIN ({_CUT}) t ON t.tile_id = c.id GROUP BY c.id, c.xmin, c.xmax, c.ymin, c.ymax"
-
-
-def _ground(s, d):
-    """What buildings (which never overlap) leave of each tile, as area."""
-    used = _overlay(s, d).groupBy(F.col("tile_id").alias("id")).agg(F.sum("area").alias("used"))
-    return view(s, d, L).join(used, "id", "left").select("id", F.round((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) - F.coalesce("used", F.lit(0.0)), 6).alias("area"), "class_id")
-
-
-@query("overlay_difference", _LEFT)
-def overlay_difference(s, d):
-    return _ground(s, d).select("id", "area")
-
-
-@query("shadows_minus_shaders", _LEFT)
-def shadows_minus_shaders(s, d):
-    return _ground(s, d).select("id", "area")
-
-
-@query("overlay_union", f"SELECT 'both' AS part, ROUND(SUM(area), 4) AS area FROM ({_CUT}) t UNION ALL SELECT 'tile', ROUND(SUM(area), 4) FROM ({_LEFT}) u")
-def overlay_union(s, d):
-    both = _overlay(s, d).agg(F.round(F.sum("area"), 4).alias("area")).select(F.lit("both").alias("part"), "area")
-    return both.unionByName(_ground(s, d).agg(F.round(F.sum("area"), 4).alias("area")).select(F.lit("tile").alias("part"), "area"))
-
-
-_COMPOSE = f"SELECT type, ROUND(SUM(area), 4) AS area FROM (SELECT 2 AS type, area FROM ({_CUT}) t UNION ALL SELECT CASE WHEN c.class_id IN (5, 6, 7, 8) THEN 5 WHEN c.class_id IN (4, 12) THEN 7 WHEN c.class_id = 1 THEN 6 ELSE 1 END, u.area FROM ({_LEFT}) u JOIN f_landcover c ON c.id = u.id) x GROUP BY type"
-
-
-def _composed(s, d):
-    kind = F.when(F.col("class_id").isin(5, 6, 7, 8), 5).when(F.col("class_id").isin(4, 12), 7).when(F.col("class_id") == 1, 6).otherwise(1)
-    parts = _overlay(s, d).select(F.lit(2).alias("type"), "area").unionByName(_ground(s, d).select(kind.alias("type"), "area"))
-    return parts.groupBy("type").agg(F.round(F.sum("area"), 4).alias("area"))
-
-
-@query("landcover_compose", _COMPOSE)
-def landcover_compose(s, d):
-    """Area by land cover type: buildings over everything, then vegetation, water, pedestrian ground, and the rest as ground."""
-    return _composed(s, d)
-
-
-@query("landcover_override", _COMPOSE)
-def landcover_override(s, d):
-    return _composed(s, d)
-
-
-@query("pedestrian_override", f"SELECT tile_id, CASE WHEN building_id % 2 = 0 THEN 1 ELSE class_id END AS code, ROUND(SUM(area), 6) AS area FROM ({_CUT}) t GROUP BY 1, 2")
-def pedestrian_override(s, d):
-    code = F.when(F.col("building_id") % 2 == 0, F.lit(1).cast("long")).otherwise(F.col("class_id"))
-    return _overlay(s, d).groupBy("tile_id", code.alias("code")).agg(F.round(F.sum("area"), 6).alias("area"))
-
-
-@query("trees_buildings_union", "SELECT COALESCE(b.id, t.id) AS id, COALESCE(b.h, t.h, 6.0) AS height FROM (SELECT id, hauteur AS h FROM f_building WHERE hauteur IS NOT NULL) b FULL JOIN (SELECT id, CAST(id % 20 AS DOUBLE) AS h FROM f_building WHERE nombre_d_etages IS NOT NULL) t ON b.id = t.id")
-def trees_buildings_union(s, d):
-    b = view(s, d, B).where("hauteur IS NOT NULL").select("id", F.col("hauteur").alias("hb"))
-    t = view(s, d, B).where("nombre_d_etages IS NOT NULL").select("id", (F.col("id") % 20).cast("double").alias("ht"))
-    return b.join(t, "id", "full").select("id", F.coalesce("hb", "ht", F.lit(6.0)).alias("height"))
-
-
-@query("agg_geom_union", "SELECT CAST(id % 10 AS BIGINT) AS block, SUM((xmax-xmin)*(ymax-ymin)) AS area FROM f_building GROUP BY id % 10")
-def agg_geom_union(s, d):
-    """Dissolve by key. Members that do not overlap keep their rings side by side; the measure of the union is the sum of theirs."""
-    b = G.with_box(view(s, d, B))
-    return b.groupBy((F.col("id") % 10).alias("block")).agg(F.sum(G.area(F.col("geom"))).alias("area"))
+# Shapes -----------------------------------------------------------------------------------------------------------------------------------
 
 
 @query("agg_connected_blocks")

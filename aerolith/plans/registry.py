@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import formats, formulas, geometry, problems, rasters, relational, thermal, windfield
+from . import formats, formulas, geometry, overlays, problems, rasters, relational, thermal, windfield
 from .base import Query
 
-_MODULES = (problems, relational, formulas, rasters, windfield, formats, thermal, geometry)
+_MODULES = (problems, relational, formulas, rasters, windfield, formats, thermal, geometry, overlays)
 
 
 def queries() -> dict[str, Query]:
