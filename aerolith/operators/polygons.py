@@ -10,6 +10,7 @@ dissolve unites by key and cell first, so that only outlines meet in one task.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -38,103 +39,113 @@ def _edges(region: Region) -> np.ndarray:
 def _split(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges split where they meet others, and which edge each piece is of."""
     n = len(e)
-    cuts: list[list[tuple[float, float]]] = [[] for _ in range(n)]
     lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
-    for i in range(n):  # each against those after it whose bounds meet its own
-        j = i + 1 + np.flatnonzero((lo[i + 1 :] <= hi[i]).all(1) & (hi[i + 1 :] >= lo[i]).all(1))
-        if not len(j):
-            continue
-        p, r = e[i, :2], e[i, 2:] - e[i, :2]
-        q, s = e[j, :2], e[j, 2:] - e[j, :2]
-        den = r[0] * s[:, 1] - r[1] * s[:, 0]
-        d = q - p
+    edge, at = [], []
+    step = max(1, 2_000_000 // max(n, 1))
+    for first in range(0, n, step):
+        some = np.arange(first, min(first + step, n))
+        near = (lo[some, None] <= hi[None]).all(2) & (hi[some, None] >= lo[None]).all(2) & (some[:, None] < np.arange(n)[None])
+        i, j = np.nonzero(near)
+        i = some[i]
+        p, r, q, s = e[i, :2], e[i, 2:] - e[i, :2], e[j, :2], e[j, 2:] - e[j, :2]
+        d, den = q - p, r[:, 0] * s[:, 1] - r[:, 1] * s[:, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t, u = (d[:, 0] * s[:, 1] - d[:, 1] * s[:, 0]) / den, (d[:, 0] * r[1] - d[:, 1] * r[0]) / den
-        cross = (den != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12)
-        for k in np.flatnonzero(cross):
-            at = tuple(np.rint(p + t[k] * r))
-            cuts[i].append(at)
-            cuts[j[k]].append(at)
-        level = (den == 0) & (d[:, 0] * r[1] == d[:, 1] * r[0])
-        for k in np.flatnonzero(level):  # on one line: either's ends may cut the other
-            for at in (tuple(e[j[k], :2]), tuple(e[j[k], 2:])):
-                if (np.array(at) >= lo[i]).all() and (np.array(at) <= hi[i]).all():
-                    cuts[i].append(at)
-            for at in (tuple(e[i, :2]), tuple(e[i, 2:])):
-                if (np.array(at) >= lo[j[k]]).all() and (np.array(at) <= hi[j[k]]).all():
-                    cuts[j[k]].append(at)
-    out, of = [], []
-    for i in range(n):
-        pts = {tuple(e[i, :2]), tuple(e[i, 2:]), *cuts[i]}
-        r = e[i, 2:] - e[i, :2]
-        line = sorted(pts, key=lambda at: (at[0] - e[i, 0]) * r[0] + (at[1] - e[i, 1]) * r[1])
-        for a, b in zip(line, line[1:], strict=False):
-            out.append((*a, *b))
-            of.append(i)
-    return np.array(out).reshape(-1, 4), np.array(of, int)
-
-
-def _sides(e: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """Whether the region whose border are the pieces ``odd`` lies at the upper or right side of each piece's middle."""
-    out = np.zeros(len(e), bool)
-    b = e[odd]
-    flat = e[:, 1] == e[:, 3]
-    for pick, x, y in ((~flat, 0, 1), (flat, 1, 0)):  # a ray to the right; from level pieces one upward
-        rows = np.flatnonzero(pick)
-        for at in range(0, len(rows), max(1, 2_000_000 // max(len(b), 1))):
-            some = rows[at : at + max(1, 2_000_000 // max(len(b), 1))]
-            mx, my = (e[some, x] + e[some, x + 2]) / 2, (e[some, y] + e[some, y + 2]) / 2
-            span = (b[:, y] > my[:, None]) != (b[:, y + 2] > my[:, None])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                where = b[:, x] + (my[:, None] - b[:, y]) * (b[:, x + 2] - b[:, x]) / (b[:, y + 2] - b[:, y])
-            same = (b[None, :, :] == e[some][:, None, :]).all(2)
-            out[some] = (span & ~same & (where > mx[:, None])).sum(1) % 2 == 1
-    return out
-
-
-def overlay(a: Region, b: Region, how: str) -> Region:
-    """``a`` and / or / minus / xor ``b`` as rings, outer ones counter-clockwise, holes clockwise; an empty list where nothing is left."""
-    ea, eb = _edges(a), _edges(b)
-    pieces, of = _split(np.vstack([ea, eb]))
-    if not len(pieces):
+            t, u = (d[:, 0] * s[:, 1] - d[:, 1] * s[:, 0]) / den, (d[:, 0] * r[:, 1] - d[:, 1] * r[:, 0]) / den
+        k = np.flatnonzero((den != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12))
+        cut = np.rint(p[k] + t[k, None] * r[k])
+        edge += [i[k], j[k]]
+        at += [cut, cut]
+        k = np.flatnonzero((den == 0) & (d[:, 0] * r[:, 1] == d[:, 1] * r[:, 0]))  # on one line: either's ends may cut the other
+        for one, two in ((i[k], j[k]), (j[k], i[k])):
+            for ends in (e[two, :2], e[two, 2:]):
+                within = ((ends >= lo[one]) & (ends <= hi[one])).all(1)
+                edge.append(one[within])
+                at.append(ends[within])
+    own = np.arange(n)
+    edge, at = np.concatenate([own, own, *edge]), np.vstack([e[:, :2], e[:, 2:], *at])
+    way = ((at - e[edge, :2]) * (e[edge, 2:] - e[edge, :2])).sum(1)
+    order = np.lexsort((way, edge))
+    edge, at = edge[order], at[order]
+    go = (edge[1:] == edge[:-1]) & (at[1:] != at[:-1]).any(1)
+    return np.hstack([at[:-1][go], at[1:][go]]), edge[1:][go]
+
+
+def arrange(regions: list[Region], keep: Callable[[np.ndarray], np.ndarray]) -> Region:
+    """The part of the plane that ``keep`` takes, told of places (rows) in which of the regions (columns) they lie, as rings: outer ones counter-clockwise, holes clockwise."""
+    edges = [_edges(r) for r in regions]
+    owner = np.repeat(np.arange(len(regions)), [len(x) for x in edges])
+    if not len(owner):
         return []
+    pieces, of = _split(np.vstack(edges))
     turned = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
     e = np.where(turned[:, None], pieces[:, [2, 3, 0, 1]], pieces)
     e, which = np.unique(e, axis=0, return_inverse=True)
-    parity = [np.bincount(which.ravel()[m], minlength=len(e)) % 2 == 1 for m in (of < len(ea), of >= len(ea))]
-    keep = parity[0] | parity[1]
-    e, parity = e[keep], [p[keep] for p in parity]
-    one = [_sides(e, p) for p in parity]  # the right side of a piece, or the upper one of a level piece
-    two = [o ^ p for o, p in zip(one, parity, strict=True)]
-    here, there = OPERATIONS[how](one[0], one[1]), OPERATIONS[how](two[0], two[1])
+    odd = np.zeros((len(e), len(regions)), np.int64)
+    np.add.at(odd, (which.ravel(), owner[of]), 1)
+    odd = odd % 2 == 1
+    real = odd.any(1)
+    e, odd = e[real], odd[real]
+    # One side of each piece: the right one, of level pieces the upper one, by the borders that a ray from its middle crosses.
+    one = np.zeros_like(odd)
+    weight = odd.astype(np.float32)
+    flat = e[:, 1] == e[:, 3]
+    step = max(1, 2_000_000 // max(len(e), 1))
+    for pick, x, y in ((~flat, 0, 1), (flat, 1, 0)):
+        rows = np.flatnonzero(pick)
+        for first in range(0, len(rows), step):
+            some = rows[first : first + step]
+            mx, my = ((e[some, c] + e[some, c + 2])[:, None] / 2 for c in (x, y))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                beyond = e[:, x] + (my - e[:, y]) * ((e[:, x + 2] - e[:, x]) / (e[:, y + 2] - e[:, y])) > mx
+            crossed = ((e[:, y] > my) != (e[:, y + 2] > my)) & beyond
+            crossed[np.arange(len(some)), some] = False
+            one[some] = (crossed.astype(np.float32) @ weight) % 2 == 1
+    here, there = keep(one), keep(one ^ odd)
     border = here != there
     e, here = e[border], here[border]
     # Pieces go from the lower left: the right side is on the right hand of a rising piece, on the left hand of a falling or level one.
-    rising = e[:, 3] > e[:, 1]
-    inside_left = np.where(rising, ~here, here)
+    inside_left = np.where(e[:, 3] > e[:, 1], ~here, here)
     return _join(np.where(inside_left[:, None], e, e[:, [2, 3, 0, 1]]))
 
 
+def overlay(a: Region, b: Region, how: str) -> Region:
+    """``a`` and / or / minus / xor ``b`` as rings; an empty list where nothing is left."""
+    return arrange([a, b], lambda in_: OPERATIONS[how](in_[:, 0], in_[:, 1]))
+
+
+def minus_all(a: Region, others: list[Region], at_once: int = 24) -> Region:
+    """What all the others leave of ``a``."""
+    for k in range(0, len(others), at_once):
+        if not a:
+            break
+        a = arrange([a, *others[k : k + at_once]], lambda in_: in_[:, 0] & ~in_[:, 1:].any(1))
+    return a
+
+
 def _join(e: np.ndarray) -> Region:
-    """Directed pieces, the inside to their left, joined into rings; where several go on, the rightmost-but-inside one, so that rings only touch."""
+    """Directed pieces, the inside to their left, joined into rings; where several go on, the one that turns back most, so that rings only touch."""
+    starts, ends = list(map(tuple, e[:, :2].tolist())), list(map(tuple, e[:, 2:].tolist()))
+    angle = np.arctan2(e[:, 3] - e[:, 1], e[:, 2] - e[:, 0]).tolist()
     out_of: dict[tuple, list[int]] = defaultdict(list)
-    for i, p in enumerate(map(tuple, e[:, :2])):
+    for i, p in enumerate(starts):
         out_of[p].append(i)
-    angle = np.arctan2(e[:, 3] - e[:, 1], e[:, 2] - e[:, 0])
-    used = np.zeros(len(e), bool)
+    used = [False] * len(starts)
     rings: Region = []
-    for first in range(len(e)):
+    for first in range(len(starts)):
         if used[first]:
             continue
         ring, i = [], first
         while not used[i]:
             used[i] = True
-            ring.append(e[i, :2])
-            ways = [k for k in out_of[tuple(e[i, 2:])] if not used[k]]
+            ring.append(starts[i])
+            ways = [k for k in out_of[ends[i]] if not used[k]]
             if not ways:
                 break
-            back = angle[i] + np.pi
-            i = min(ways, key=lambda k: (back - angle[k]) % (2 * np.pi) or 2 * np.pi)
+            if len(ways) == 1:
+                i = ways[0]
+            else:
+                back = angle[i] + math.pi
+                i = min(ways, key=lambda k: (back - angle[k]) % (2 * math.pi) or 2 * math.pi)
         r = np.array(ring)
         # Corners on a straight line go.
         before, after = np.roll(r, 1, axis=0), np.roll(r, -1, axis=0)
@@ -161,12 +172,11 @@ def valid(region: Region) -> Region:
     return overlay(region, [], "or")
 
 
-def union(regions: list[Region]) -> Region:
+def union(regions: list[Region], at_once: int = 24) -> Region:
     """Everything that any of the regions covers."""
-    regions = [valid(r) for r in regions] or [[]]
     while len(regions) > 1:
-        regions = [overlay(regions[i], regions[i + 1], "or") if i + 1 < len(regions) else regions[i] for i in range(0, len(regions), 2)]
-    return regions[0]
+        regions = [arrange(regions[k : k + at_once], lambda in_: in_.any(1)) for k in range(0, len(regions), at_once)]
+    return valid(regions[0]) if regions else []
 
 
 def holds(region: Region, x: float, y: float) -> bool:
@@ -282,6 +292,11 @@ def _boxed(layer: DataFrame) -> DataFrame:
     return layer.where("rings is not null and size(rings) > 0").select("id", "rings", *[v.alias(n) for n, v in ends])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """By ``keys`` into a fixed number of partitions: overlays cost time and not bytes, so partitions must not be put together for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a_id, b_id, a_rings, b_rings) of shapes whose bounds meet."""
     return J.boxes_that_meet(_boxed(a), _boxed(b), size).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.rings").alias("a_rings"), F.col("b.rings").alias("b_rings"))
@@ -289,26 +304,24 @@ def pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
 
 def intersection(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a_id, b_id, rings) of what shapes of two layers (id, rings) share, where that has an area. ``size``: the side of a cell, about that of a shape."""
-    x = pairs(a, b, size).select("a_id", "b_id", binary("and")("a_rings", "b_rings").alias("rings"))
+    x = spread(pairs(a, b, size), "a_id", "b_id").select("a_id", "b_id", binary("and")("a_rings", "b_rings").alias("rings"))
     return x.where(F.size("rings") > 0)
 
 
 def difference(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(id, rings) of what all shapes of ``b`` together leave of each shape of ``a``, where anything is left. Ids of ``a`` are unique."""
     kind = a.schema["id"].dataType.simpleString()
-    met = pairs(a, b, size)
+    met = pairs(a, b, size)  # every group has a pair, so what is left has been through an arrangement
 
     def kernel(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: Region | None = None
         for t in batches:
             if left is None:
-                left = valid(regions_of(t.column("a_rings").slice(0, 1))[0])
-            for other in regions_of(t.column("b_rings")):
-                if left:
-                    left = overlay(left, other, "minus")
+                left = regions_of(t.column("a_rings").slice(0, 1))[0]
+            left = minus_all(left, regions_of(t.column("b_rings")))
         yield pa.RecordBatch.from_pydict({"id": pa.array([key[0].as_py()], key[0].type), "rings": as_column([left or []])})
 
-    cut_down = met.groupBy("a_id").applyInArrow(kernel, f"id {kind}, rings {RINGS}")
+    cut_down = spread(met, "a_id").groupBy("a_id").applyInArrow(kernel, f"id {kind}, rings {RINGS}")
     whole = _boxed(a).select("id", "rings").join(met.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
     return cut_down.where(F.size("rings") > 0).unionByName(whole)
 
@@ -337,5 +350,5 @@ def dissolve(layer: DataFrame, key: str, size: float) -> DataFrame:
 
     first = F.col("rings")[0][0]
     cells = layer.where("rings is not null and size(rings) > 0").select(F.col(key).alias("k"), F.floor(first["x"] / (8 * size)).alias("i"), F.floor(first["y"] / (8 * size)).alias("j"), "rings")
-    some = cells.groupBy("k", "i", "j").applyInArrow(kernel(["k", "i", "j"]), f"k {kind}, i bigint, j bigint, rings {RINGS}").select("k", "rings")
-    return some.groupBy("k").applyInArrow(kernel(["k"]), f"k {kind}, rings {RINGS}").withColumnRenamed("k", key)
+    some = spread(cells, "k", "i", "j").groupBy("k", "i", "j").applyInArrow(kernel(["k", "i", "j"]), f"k {kind}, i bigint, j bigint, rings {RINGS}").select("k", "rings")
+    return spread(some, "k").groupBy("k").applyInArrow(kernel(["k"]), f"k {kind}, rings {RINGS}").withColumnRenamed("k", key)

@@ -110,7 +110,7 @@ def landcover_compose(s, d):
     """Layers in their order, as polygons: buildings over everything (dissolved within each tile), then vegetation, water, pedestrian ground by their tiles' class, and the rest as ground."""
     tiles = _tiles(s, d, ("class_id",))
     left = P.difference(tiles.select("id", "rings"), _wide(s, d), 64.0)
-    both = tiles.join(left.withColumnRenamed("rings", "open"), "id", "left")
+    both = P.spread(tiles.join(left.withColumnRenamed("rings", "open"), "id", "left"), "id")
     kind = F.when(F.col("class_id").isin(5, 6, 7, 8), 5).when(F.col("class_id").isin(4, 12), 7).when(F.col("class_id") == 1, 6).otherwise(1)
     none = F.array().cast(P.RINGS)
     built = P.binary("minus")(F.col("rings"), F.coalesce("open", none))
