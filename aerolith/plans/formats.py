@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.lookups import CLIMATE_ZONES, case, lookup
+from ..operators import clip
 from ..session import cut, shared_folder
 from ..sources import formats as X
 from .base import Book, view
@@ -107,23 +109,32 @@ def scan_csv_wkt(s, d):
     return X.read_wkt_csv(s, place, "id bigint, hauteur double, geometry string").select("id", "hauteur", G.area(F.col("ring")).alias("area"))
 
 
-@query("sink_gpkg", "SELECT id, hauteur FROM f_building")
-def sink_gpkg(s, d):
-    """A layer as columns: the native sink, split by ground tile so that readers prune."""
+def _gpkg(s, d, name: str) -> str:
+    """A layer as GeoPackage files, one for each square of 10 km, whose place is in its name (kilometres of the upper left corner)."""
     place = _place(s)
-    view(s, d, B).withColumn("tile", F.floor(F.col("xmin") / 250)).write.partitionBy("tile").parquet(place)
-    return s.read.parquet(place).select("id", "hauteur")
+    x, y = F.floor(F.col("xmin") / 250) * 10, F.floor(F.col("ymin") / 250) * 10 + 10
+    tiles = G.with_box(view(s, d, name)).withColumn("tile", F.concat_ws("_", F.lit("D017_2021"), x.cast("string"), y.cast("string"), F.lit("vecto")))
+    attribute = "hauteur" if name == B else "class_id"
+    X.binary_files(tiles.select("tile", "id", F.col(attribute).cast("double").alias("value"), "geom"), "tile", lambda c: X.gpkg_bytes("layer", c["id"], c["value"], [[(p["x"], p["y"]) for p in r] for r in c["geom"]]), ["id", "value", "geom"], place, ".gpkg")
+    return place
+
+
+@query("sink_gpkg", _AREA)
+def sink_gpkg(s, d):
+    g = X.read_gpkg(s, X.read_staged(s, _gpkg(s, d, B)))
+    return g.select("id", F.col("value").alias("hauteur"), G.area(F.col("rings")[0]).alias("area"))
 
 
 _TILES = "SELECT id, class_id FROM f_landcover WHERE xmax > 200 AND xmin < 600 AND ymax > 200 AND ymin < 600"
 
 
 def _tiles(s, d) -> DataFrame:
-    """Tiles whose place is in their partition's name: only those that meet the window are read."""
-    place = _place(s)
-    view(s, d, "f_landcover").withColumn("km", F.floor(F.col("xmin") / 340).cast("int")).write.partitionBy("km").parquet(place)
-    tiles = s.read.parquet(place).where(F.col("km").between(200 // 340 - 1, 600 // 340))
-    return tiles.where("xmax > 200 AND xmin < 600 AND ymax > 200 AND ymin < 600").select("id", "class_id")
+    """Files are chosen by the square in their names before any is opened; of theirs, what meets the window."""
+    files = X.read_staged(s, _gpkg(s, d, "f_landcover"))
+    km = lambda i: F.regexp_extract("path", r"_(-?\d+)_(-?\d+)_vecto\.gpkg$", i).cast("int") * 25.0
+    chosen = files.where((km(1) < 600) & (km(1) + 250 + 34 > 200) & (km(2) - 250 < 600) & (km(2) + 34 > 200))
+    g = X.read_gpkg(s, chosen).withColumn("b", G.bounds(F.col("rings")[0]))
+    return g.where("b.xmax > 200 AND b.xmin < 600 AND b.ymax > 200 AND b.ymin < 600").select("id", F.col("value").cast("long").alias("class_id"))
 
 
 @query("scan_gpkg_tiles", _TILES)
@@ -143,9 +154,20 @@ def scan_postgres_meta(s, d):
     return s.createDataFrame(rows, "layer string, col string")
 
 
-@query("scan_lcz_zip", "SELECT zone_id, lcz_int, CASE WHEN lcz_int <= 10 THEN 'built' ELSE 'natural' END AS kind FROM lcz_zones")
+_LABEL = {k: v[0] for k, v in CLIMATE_ZONES.items()}
+_COLOUR = {k: v[1] for k, v in CLIMATE_ZONES.items()}
+
+
+@query("scan_lcz_zip", f"SELECT id, CAST(1 + id % 17 AS INTEGER) AS zone, {case('1 + id % 17', _LABEL)} AS label, {case('1 + id % 17', _COLOUR)} AS colour, ROUND((least(xmax, 500) - greatest(xmin, 100)) * (least(ymax, 400) - greatest(ymin, 100)), 6) AS area FROM f_landcover WHERE xmax > 100 AND xmin < 500 AND ymax > 100 AND ymin < 400")
 def scan_lcz_zip(s, d):
-    return view(s, d, "lcz_zones").select("zone_id", "lcz_int", F.when(F.col("lcz_int") <= 10, "built").otherwise("natural").alias("kind"))
+    """Zipped shapefiles with their attribute tables: two columns, label and colour by zone, cut by a window."""
+    place = _place(s)
+    t = G.with_box(view(s, d, "f_landcover")).select(F.floor(F.col("xmin") / 340).alias("tile"), "id", (1 + F.col("id") % 17).cast("int").alias("zone"), "geom")
+    X.binary_files(t, "tile", lambda c: X.zipped({"zones.shp": X.shp_bytes([[(p["x"], p["y"]) for p in r] for r in c["geom"]]), "zones.dbf": X.dbf_bytes({"ID": c["id"], "ZONE": c["zone"]})}), ["id", "zone", "geom"], place, ".zip")
+    z = X.read_zipped_shp(s, X.read_staged(s, place)).select(F.col("attributes")["ID"].cast("long").alias("id"), F.col("attributes")["ZONE"].cast("int").alias("zone"), F.col("rings")[0].alias("g"))
+    z = z.withColumn("window", G.box_ring(*[F.lit(float(v)) for v in (100, 100, 500, 400)]))
+    z = clip.clipped(z, "g", "window").where("clipped IS NOT NULL").withColumn("area", F.round(G.area(F.col("clipped")), 6)).where("area > 0")
+    return z.select("id", "zone", lookup(F.col("zone"), _LABEL).alias("label"), lookup(F.col("zone"), _COLOUR).alias("colour"), "area")
 
 
 @query("scan_wfs_bisect")
@@ -420,11 +442,23 @@ def sink_grid_average(s, d):
     return e.where(d2 <= 121).groupBy("i", "j").agg(F.round(F.avg("z"), 6).alias("v"))
 
 
-@query("sink_wind_slice", "SELECT ts_h, ROUND(ws * (0.6 * pow(7.5 / 10, 0.24) + 0.4 * pow(12.5 / 10, 0.24)), 6) AS ws_at FROM f_weather")
+_FIELD = "SELECT r, c, k, 2.5 + 5 * k AS z, v * pow((2.5 + 5 * k) / 10.0, 0.24) / 10 AS u, (r - c) * (k + 1) / 100.0 AS w FROM f_pixel CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) g"
+
+
+@query(
+    "sink_wind_slice",
+    f"WITH f AS ({_FIELD}), m AS (SELECT a.r, a.c, a.u + (b.u - a.u) * 0.3 AS u, a.w + (b.w - a.w) * 0.3 AS v FROM f a JOIN f b ON a.r = b.r AND a.c = b.c AND a.k = 1 AND b.k = 2) SELECT r, c, ROUND(sqrt(u * u + v * v), 6) AS hws, ROUND(degrees(atan2(u, v)), 6) AS hwd FROM m",
+)
 def sink_wind_slice(s, d):
-    """Speed between two levels, by the line through them."""
-    lo, hi = (7.5 / 10) ** 0.24, (12.5 / 10) ** 0.24
-    return view(s, d, W).select("ts_h", F.round(F.col("ws") * (0.6 * lo + 0.4 * hi), 6).alias("ws_at"))
+    """Horizontal speed and direction of a field (``u``, ``v`` at levels every 5 m) at 9 m, by the line between the levels around it; written and read back."""
+    place, z = _place(s), 9.0
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    f = view(s, d, "f_pixel").select("r", "c", "v", k).withColumn("z", 2.5 + 5 * F.col("k"))
+    f = f.select("r", "c", "z", (F.col("v") * F.pow(F.col("z") / 10, F.lit(0.24)) / 10).alias("u"), ((F.col("r") - F.col("c")) * (F.col("k") + 1) / 100.0).alias("v"))
+    near = f.where(F.abs(F.col("z") - z) < 5).groupBy("r", "c").agg(*[F.sum(F.col(n) * (1 - F.abs(F.col("z") - z) / 5)).alias(n) for n in "uv"])
+    near.write.parquet(place)
+    x = s.read.parquet(place)
+    return x.select("r", "c", F.round(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")), 6).alias("hws"), F.round(F.degrees(F.atan2("u", "v")), 6).alias("hwd"))
 
 
 @query("sink_netcdf_wind", "SELECT r AS i, c AS j, ROUND(v / 10, 6) AS u FROM f_pixel")

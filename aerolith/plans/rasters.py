@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.lookups import POINT_CLASSES, case, lookup
 from ..operators import clip, components
 from ..operators import joins as J
 from .base import Book, view
@@ -229,10 +230,18 @@ def raster_ndvi_polygons(s, d):
     return g.where("area > 1")
 
 
+#: From one row of cells to the next in the numbering of cells; no raster is as wide.
+_ROW = 1 << 32
+
+
+def _cell_id():
+    return F.col("r").cast("long") * _ROW + F.col("c")
+
+
 def _patches(px: DataFrame) -> DataFrame:
     """(component, area, bounds) of 4-connected pixels."""
-    n = px.select((F.col("r") * 100000 + F.col("c")).alias("id"), "r", "c")
-    links = n.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 1, F.col("id") + 100000)).alias("b")).join(n.select(F.col("id").alias("b")), "b", "left_semi")
+    n = px.select(_cell_id().alias("id"), "r", "c")
+    links = n.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 1, F.col("id") + _ROW)).alias("b")).join(n.select(F.col("id").alias("b")), "b", "left_semi")
     return components.connected(n.select("id"), links).join(n, "id").groupBy("component").agg(F.count("*").alias("area"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
 
 
@@ -252,12 +261,9 @@ def agg_hex_last(s, d):
 # Point clouds -------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("pc_classify_names", "SELECT cls, CASE cls WHEN 1 THEN 'unclassified' WHEN 2 THEN 'ground' WHEN 3 THEN 'low vegetation' WHEN 4 THEN 'medium vegetation' WHEN 5 THEN 'high vegetation' WHEN 6 THEN 'building' END AS name, CAST(COUNT(*) AS BIGINT) AS n FROM f_point GROUP BY cls")
+@query("pc_classify_names", f"SELECT cls, {case('cls', POINT_CLASSES)} AS name, CAST(COUNT(*) AS BIGINT) AS n FROM f_point GROUP BY cls")
 def pc_classify_names(s, d):
-    from ..functions.lookups import lookup
-
-    names = {1: "unclassified", 2: "ground", 3: "low vegetation", 4: "medium vegetation", 5: "high vegetation", 6: "building"}
-    return view(s, d, "f_point").groupBy("cls").agg(F.count("*").alias("n")).select("cls", lookup(F.col("cls"), names).alias("name"), "n")
+    return view(s, d, "f_point").groupBy("cls").agg(F.count("*").alias("n")).select("cls", lookup(F.col("cls"), POINT_CLASSES).alias("name"), "n")
 
 
 _DSM = "SELECT CAST(floor(x / 5) AS BIGINT) AS c, CAST(floor(y / 5) AS BIGINT) AS r, MAX(CASE WHEN cls IN (3,4,5) THEN z END) AS dsm, MIN(CASE WHEN cls = 2 THEN z END) AS dtm FROM f_point GROUP BY 1, 2"
@@ -325,14 +331,27 @@ def pc_tree_tops(s, d):
     return a.join(b, (F.col("a.bi") == F.col("b.bi")) & (F.col("a.bj") == F.col("b.bj")) & near & beats, "left_anti").select("a.r", "a.c", "a.chm")
 
 
-@query("pc_watershed")
+_CANOPY = "SELECT CAST(floor(y / 4) AS BIGINT) AS r, CAST(floor(x / 4) AS BIGINT) AS c, MAX(z) - MIN(z) AS chm FROM f_point GROUP BY 1, 2"
+
+
+@query(
+    "pc_watershed",
+    f"WITH RECURSIVE ch AS (SELECT r * 4294967296 + c AS id, chm FROM ({_CANOPY}) t WHERE chm >= 2), up AS (SELECT a.id, arg_max(b.id, struct_pack(h := b.chm, i := b.id)) AS top FROM ch a JOIN ch b ON b.id IN (a.id, a.id + 1, a.id - 1, a.id + 4294967296, a.id + 4294967297, a.id + 4294967295, a.id - 4294967296, a.id - 4294967297, a.id - 4294967295) GROUP BY a.id), "
+    "walk(id, spot) AS (SELECT id, top FROM up UNION SELECT w.id, u.top FROM walk w JOIN up u ON u.id = w.spot) "
+    "SELECT k.cells, ch.chm AS height, CAST(COUNT(*) AS BIGINT) AS crowns FROM (SELECT w.spot AS top, CAST(COUNT(DISTINCT w.id) AS BIGINT) AS cells FROM walk w JOIN up u ON u.id = w.spot AND u.top = w.spot GROUP BY w.spot) k JOIN ch ON ch.id = k.top GROUP BY k.cells, ch.chm",
+)
 def pc_watershed(s, d):
-    """Crowns: every cell of the canopy belongs to the top that it reaches by always stepping to its highest neighbour (pointer jumping over components)."""
-    ch = _dsm(s, d).where("dsm IS NOT NULL AND dtm IS NOT NULL").select((F.col("r") * 1000 + F.col("c")).alias("id"), "r", "c", F.greatest(F.col("dsm") - F.col("dtm"), F.lit(0.0)).alias("chm")).where("chm >= 2")
-    around = F.explode(F.array(*[F.col("id") + 1000 * i + j for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("to")
+    """Crowns: every cell of the canopy belongs to the top that it reaches by always stepping to its highest neighbour. Told by how many crowns have a size and height."""
+    ch = view(s, d, "f_point").groupBy(F.floor(F.col("y") / 4).alias("r"), F.floor(F.col("x") / 4).alias("c")).agg((F.max("z") - F.min("z")).alias("chm")).where("chm >= 2").select(_cell_id().alias("id"), "chm")
+    crown = crowns(ch)
+    return crown.join(ch, "id").groupBy("component").agg(F.count("*").alias("cells"), F.max("chm").alias("height")).groupBy("cells", "height").agg(F.count("*").alias("crowns"))
+
+
+def crowns(ch: DataFrame) -> DataFrame:
+    """(id, component) of cells (id, chm): steps to the highest neighbour (ties to the greater id) as links, then components."""
+    around = F.explode(F.array(*[F.col("id") + _ROW * i + j for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("to")
     up = ch.select(F.col("id").alias("from"), around).join(ch.select(F.col("id").alias("to"), "chm"), "to").groupBy("from").agg(F.max_by("to", F.struct("chm", "to")).alias("to"))
-    crown = components.connected(ch.select("id"), up.select(F.col("from").alias("a"), F.col("to").alias("b")).where("a <> b"))
-    return crown.join(ch, "id").groupBy("component").agg(F.count("*").alias("cells"), F.max("chm").alias("height"))
+    return components.connected(ch.select("id"), up.select(F.col("from").alias("a"), F.col("to").alias("b")).where("a <> b"))
 
 
 @query("pc_polygonize_class", "SELECT CAST(floor(x/20) AS BIGINT) AS i, CAST(floor(y/20) AS BIGINT) AS j, cls, CAST(COUNT(*) AS BIGINT) AS n, MAX(z) AS top FROM f_point GROUP BY 1, 2, 3")

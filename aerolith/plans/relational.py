@@ -8,15 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.lookups import LANDCOVER_COLOURS, LANDCOVER_NAMES, lookup
+from ..functions.lookups import LANDCOVER_CODES, LANDCOVER_COLOURS, LANDCOVER_NAMES, case, lookup
 from ..operators import joins as J
 from .base import Book, view
 
 book = Book()
 query = book.query
 B = "f_building"
-_COLOUR_SQL = "CASE class_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LANDCOVER_COLOURS.items()) + " END"
-_NAME_SQL = "CASE class_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LANDCOVER_NAMES.items()) + " END"
 
 
 # Projections and filters ---------------------------------------------------------------------------------------------------------------
@@ -41,10 +39,10 @@ def proj_literal(s: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.lit("tree").alias("type"), F.lit(6.0).alias("height"), F.lit(0.3).alias("trunk_zone"), F.lit(4.0).alias("diameter"))
 
 
-@query("proj_dict_map", f"SELECT id, class_id, {_NAME_SQL} AS class_name, {_COLOUR_SQL} AS colour FROM f_landcover")
+@query("proj_dict_map", f"SELECT id, class_id, {case('class_id', LANDCOVER_NAMES)} AS class_name, CAST({case('class_id', LANDCOVER_CODES)} AS INTEGER) AS code, {case('class_id', LANDCOVER_COLOURS)} AS colour FROM f_landcover")
 def proj_dict_map(s: SparkSession, d: str) -> DataFrame:
     t = view(s, d, "f_landcover")
-    return t.select("id", "class_id", lookup(F.col("class_id"), LANDCOVER_NAMES).alias("class_name"), lookup(F.col("class_id"), LANDCOVER_COLOURS).alias("colour"))
+    return t.select("id", "class_id", lookup(F.col("class_id"), LANDCOVER_NAMES).alias("class_name"), lookup(F.col("class_id"), LANDCOVER_CODES).alias("code"), lookup(F.col("class_id"), LANDCOVER_COLOURS).alias("colour"))
 
 
 _FILL = """

@@ -135,11 +135,19 @@ def bloc_building_ids(s, d):
     return view(s, d, "f_building").groupBy(F.floor(F.col("xmin") / 250).alias("bx"), F.floor(F.col("ymin") / 250).alias("by_")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-@query("wind_profile_user", "SELECT ts_h, ROUND(ws * (0.8 + 0.2 * (7 - 5) / 5.0), 6) AS v7 FROM f_weather")
+_HEIGHTS = "(2 + (hour(ts_h) * 3) % 40)"
+
+
+@query("wind_profile_user", f"SELECT ts_h, CAST({_HEIGHTS} AS DOUBLE) AS z, ROUND(ws * CASE WHEN {_HEIGHTS} <= 5 THEN 0.8 WHEN {_HEIGHTS} <= 10 THEN 0.8 + 0.2 * ({_HEIGHTS} - 5) / 5.0 WHEN {_HEIGHTS} <= 30 THEN 1 + 0.3 * ({_HEIGHTS} - 10) / 20.0 ELSE 1.3 END, 6) AS v FROM f_weather")
 def wind_profile_user(s, d):
-    """A measured profile (0.8 at 5 m, 1 at 10 m) read at 7 m, along the line between."""
-    z, f = [5.0, 10.0], [0.8, 1.0]
-    return view(s, d, "f_weather").select("ts_h", r6(F.col("ws") * float(np.interp(7.0, z, f)), "v7"))
+    """A measured profile (heights and factors to the speed at 10 m, as a table) read at any height: the line between the levels around it, the end levels beyond."""
+    profile = s.createDataFrame([(5.0, 0.8), (10.0, 1.0), (30.0, 1.3)], "level double, factor double")
+    levels = profile.agg(F.array_sort(F.collect_list(F.struct("level", "factor"))).alias("p"))
+    w = view(s, d, "f_weather").select("ts_h", "ws", (2 + (F.hour("ts_h") * 3) % 40).cast("double").alias("z")).crossJoin(F.broadcast(levels))
+    below, above = F.filter("p", lambda x: x["level"] <= F.col("z")), F.filter("p", lambda x: x["level"] > F.col("z"))
+    lo, hi = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    between = lo["factor"] + (hi["factor"] - lo["factor"]) * (F.col("z") - lo["level"]) / (hi["level"] - lo["level"])
+    return w.select("ts_h", "z", r6(F.col("ws") * F.coalesce(between, lo["factor"], hi["factor"]), "v"))
 
 
 # The comfort cube -------------------------------------------------------------------------------------------------------------------------

@@ -289,11 +289,12 @@ def wind_sor_solver(s, d):
     return _solved(s, d).groupBy("k").agg(F.count("*").alias("cells"), r6(F.avg(-F.col("v")), "v"), r6(F.avg(F.abs("w")), "w"), F.max("rounds").alias("rounds"))
 
 
-@query("wind_recentre_rotate", "SELECT sid, ROUND(3 * cos(-0.5) - 2 * sin(-0.5), 6) AS u, ROUND(3 * sin(-0.5) + 2 * cos(-0.5), 6) AS v FROM f_station")
+@query("wind_recentre_rotate", "SELECT ts_h, ROUND(ws * sin(radians(wd + 180)), 6) AS u, ROUND(ws * cos(radians(wd + 180)), 6) AS v FROM f_weather")
 def wind_recentre_rotate(s, d):
-    """Vectors turned back into the map's frame."""
-    p = G.rotate(F.array(G.point(F.lit(3.0), F.lit(2.0))), -0.5)
-    return view(s, d, "f_station").select("sid", r6(p[0]["x"], "u"), r6(p[0]["y"], "v"))
+    """Vectors of the wind's frame, in which it blows to the south, turned back into the map's frame by each hour's direction."""
+    turn = -F.radians(F.col("wd").cast("double"))
+    u, v = F.lit(0.0), -F.col("ws")
+    return view(s, d, "f_weather").select("ts_h", r6(u * F.cos(turn) - v * F.sin(turn), "u"), r6(u * F.sin(turn) + v * F.cos(turn), "v"))
 
 
 @query("wind_outputs")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import math
 import re
+import sqlite3
 import struct
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -198,6 +200,133 @@ def read_shp(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return _files(spark, path).mapInArrow(kernel, f"file string, n int, kind string, rings {RINGS}")
 
 
+def dbf_bytes(columns: dict[str, list]) -> bytes:
+    """An attribute table of whole numbers (18 places)."""
+    names, n = list(columns), len(next(iter(columns.values())))
+    fields = b"".join(struct.pack("<11sc4xBB14x", c.encode()[:10], b"N", 18, 0) for c in names)
+    rows = b"".join(b" " + b"".join(f"{columns[c][i]:>18}".encode() for c in names) for i in range(n))
+    return struct.pack("<B3xIHH20x", 3, n, 33 + 32 * len(names), 1 + 18 * len(names)) + fields + b"\r" + rows + b"\x1a"
+
+
+def dbf_rows(body: bytes) -> list[dict[str, str]]:
+    """Rows of an attribute table as text by field; deleted ones are left out."""
+    n, head, size = struct.unpack_from("<IHH", body, 4)
+    fields, at, place = [], 32, 1
+    while body[at : at + 1] not in (b"\r", b""):
+        fields.append((body[at : at + 11].split(b"\0")[0].decode("latin-1"), place, body[at + 16]))
+        place += body[at + 16]
+        at += 32
+    rows = [body[head + i * size : head + (i + 1) * size] for i in range(n)]
+    return [{c: r[a : a + w].decode("latin-1").strip() for c, a, w in fields} for r in rows if r[:1] != b"*"]
+
+
+def zipped(files: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in files.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def _shp_polygons(body: bytes) -> list[list[list[dict[str, float]]]]:
+    at, out = 100, []
+    while at + 12 <= len(body):
+        size, kind = struct.unpack_from(">i", body, at + 4)[0], struct.unpack_from("<i", body, at + 8)[0]
+        rings = []
+        if kind % 10 == 5:
+            count, total = struct.unpack_from("<2i", body, at + 44)
+            first = [*struct.unpack_from(f"<{count}i", body, at + 52), total]
+            xy = struct.unpack_from(f"<{2 * total}d", body, at + 52 + 4 * count)
+            rings = [[{"x": xy[2 * k], "y": xy[2 * k + 1]} for k in range(a, z)] for a, z in zip(first[:-1], first[1:], strict=True)]
+        out.append(rings)
+        at += 8 + 2 * size
+    return out
+
+
+def read_zipped_shp(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(file, attributes, rings) of polygons of shapefiles in zip archives, with their attribute tables."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        for b in batches:
+            for name, body in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(body)) as z:
+                    for shp in (n for n in z.namelist() if n.lower().endswith(".shp")):
+                        shapes, rows = _shp_polygons(z.read(shp)), dbf_rows(z.read(shp[:-3] + "dbf"))
+                        columns = {"file": pa.array([name.rsplit("/", 1)[-1]] * len(shapes)), "attributes": pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string())), "rings": pa.array(shapes, pa.list_(pa.list_(point)))}
+                        yield pa.RecordBatch.from_pydict(columns)
+
+    return _files(spark, path).mapInArrow(kernel, f"file string, attributes map<string,string>, rings {RINGS}")
+
+
+def gpkg_bytes(layer: str, ids: list[int], values: list[float | None], rings: list[list[tuple[float, float]]], srid: int = 2154) -> bytes:
+    """A GeoPackage with one layer of polygons (``fid``, ``value``, ``geom``)."""
+    db = sqlite3.connect(":memory:")
+    db.executescript(
+        "PRAGMA application_id = 1196444487; PRAGMA user_version = 10300;"
+        "CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);"
+        "CREATE TABLE gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL);"
+        f'CREATE TABLE "{layer}" (fid INTEGER PRIMARY KEY, value DOUBLE, geom BLOB);'
+    )
+    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+    db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, ?, ?, ?, ?, ?)", (layer, layer, min(xs), min(ys), max(xs), max(ys), srid))
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (layer, srid))
+    blob = lambda r: struct.pack("<2sBBi", b"GP", 0, 1, srid) + struct.pack("<BII", 1, 3, 1) + struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r)
+    db.executemany(f'INSERT INTO "{layer}" VALUES (?, ?, ?)', [(i, v, blob(r)) for i, v, r in zip(ids, values, rings, strict=True)])
+    db.commit()
+    return db.serialize()
+
+
+def _gpkg_polygon(blob: bytes) -> list[list[dict[str, float]]]:
+    """Rings of the first polygon of a GeoPackage geometry; other kinds give none."""
+    envelope = (0, 32, 48, 48, 64)[(blob[3] >> 1) & 7]
+    at = 8 + envelope
+    end = "<" if blob[at] else ">"
+    kind = struct.unpack_from(end + "I", blob, at + 1)[0]
+    if kind % 1000 == 6:  # of several parts the first
+        at += 9
+        kind = struct.unpack_from(end + "I", blob, at + 1)[0]
+    if kind % 1000 != 3:
+        return []
+    wide = 2 + (kind // 1000 in (1, 2)) + 2 * (kind // 1000 == 3)
+    n, at, out = struct.unpack_from(end + "I", blob, at + 5)[0], at + 9, []
+    for _ in range(n):
+        m = struct.unpack_from(end + "I", blob, at)[0]
+        v = struct.unpack_from(f"{end}{m * wide}d", blob, at + 4)
+        out.append([{"x": v[k * wide], "y": v[k * wide + 1]} for k in range(m)])
+        at += 4 + 8 * m * wide
+    return out
+
+
+def read_gpkg(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(file, layer, id, value, rings) of the polygon layers of GeoPackages; ``value`` is the first numeric attribute."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        for b in batches:
+            for name, body in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(body)
+                for layer, geom in db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns").fetchall():
+                    info = db.execute(f'PRAGMA table_info("{layer}")').fetchall()
+                    key = next(c[1] for c in info if c[5])
+                    value = next((f'"{c[1]}"' for c in info if not c[5] and c[1] != geom and any(k in c[2].upper() for k in ("DOUBLE", "REAL", "FLOAT", "INT"))), "NULL")
+                    rows = db.execute(f'SELECT "{key}", {value}, "{geom}" FROM "{layer}" WHERE "{geom}" IS NOT NULL').fetchall()
+                    n = len(rows)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "file": pa.array([name.rsplit("/", 1)[-1]] * n, pa.string()),
+                            "layer": pa.array([layer] * n, pa.string()),
+                            "id": pa.array([r[0] for r in rows], pa.int64()),
+                            "value": pa.array([r[1] for r in rows], pa.float64()),
+                            "rings": pa.array([_gpkg_polygon(r[2]) for r in rows], pa.list_(pa.list_(point))),
+                        }
+                    )
+                db.close()
+
+    return _files(spark, path).mapInArrow(kernel, f"file string, layer string, id bigint, value double, rings {RINGS}")
+
+
 def read_dxf(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, layer, ring) of the closed polylines of DXF text."""
 
@@ -291,7 +420,7 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
         return read_geojson(spark, path, schema or "id bigint")
     if kind == "csv":
         return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
-    readers: dict[str, Callable[[SparkSession, str], DataFrame]] = {"shp": read_shp, "las": read_las, "asc": read_asc, "dxf": read_dxf, "epw": read_epw, "txt": read_forcing}
+    readers: dict[str, Callable[[SparkSession, str], DataFrame]] = {"shp": read_shp, "zip": read_zipped_shp, "gpkg": read_gpkg, "las": read_las, "asc": read_asc, "dxf": read_dxf, "epw": read_epw, "txt": read_forcing}
     if kind not in readers:
         raise ValueError(f"no reader for .{kind}")
     return readers[kind](spark, path)
