@@ -136,3 +136,21 @@ def to_conic(lon: Column, lat: Column) -> Column:
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371008.8) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def hexagon(x: Column, y: Column, size: float) -> Column:
+    """The axial coordinates (q, r) of the planar hexagon of side ``size`` that holds a point: cube coordinates rounded, the one that is off most set right."""
+    q, r = (math.sqrt(3.0) / 3 * x - y / 3) / size, 2.0 / 3 * y / size
+    rq, rr, rs = F.rint(q), F.rint(r), F.rint(-q - r)
+    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs + q + r)
+    first = (dq > dr) & (dq > ds)
+    return F.struct(F.when(first, -rr - rs).otherwise(rq).cast("long").alias("q"), F.when(~first & (dr > ds), -rq - rs).otherwise(rr).cast("long").alias("r"))
+
+
+def hexagon_sql(source: str, x: str, y: str, size: float, keep: str) -> str:
+    """The same as SQL: ``keep``, ``q`` and ``r`` of the rows of ``source``."""
+    return (
+        f"SELECT {keep}, CAST(CASE WHEN abs(rq - q0) > abs(rr - r0) AND abs(rq - q0) > abs(rs + q0 + r0) THEN -rr - rs ELSE rq END AS BIGINT) AS q, "
+        f"CAST(CASE WHEN abs(rq - q0) > abs(rr - r0) AND abs(rq - q0) > abs(rs + q0 + r0) THEN rr WHEN abs(rr - r0) > abs(rs + q0 + r0) THEN -rq - rs ELSE rr END AS BIGINT) AS r "
+        f"FROM (SELECT *, round_even(q0, 0) AS rq, round_even(r0, 0) AS rr, round_even(-q0 - r0, 0) AS rs FROM (SELECT *, (sqrt(3.0) / 3 * {x} - {y} / 3) / {size} AS q0, 2.0 / 3 * {y} / {size} AS r0 FROM {source}) h0) h1"
+    )

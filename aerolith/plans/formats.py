@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.lookups import CLIMATE_ZONES, case, lookup
 from ..operators import clip
+from ..operators import joins as J
 from ..session import cut, shared_folder
 from ..sources import formats as X
 from .base import Book, view
@@ -55,21 +56,41 @@ def geojson_merge(s, d):
     return one(a).unionByName(one(b))
 
 
-@query("scan_osm_overpass", "SELECT id, 'building' || CAST(id AS VARCHAR) AS name FROM f_building")
+def _osm(s, d) -> DataFrame:
+    """Elements as a map service answers: nodes, ways of references to nodes with tags; one element a line."""
+    place = _place(s)
+    b = G.with_box(view(s, d, B))
+    corner = b.select("id", F.posexplode(F.slice("geom", 1, 4)).alias("k", "p"))
+    nodes = corner.select(F.to_json(F.struct(F.lit("node").alias("type"), (F.col("id") * 4 + F.col("k")).alias("id"), F.col("p.y").alias("lat"), F.col("p.x").alias("lon"))).alias("value"))
+    refs = F.array(*[F.col("id") * 4 + k for k in (0, 1, 2, 3, 0)])
+    use = F.element_at(F.array(*map(F.lit, ("footway", "pedestrian", "residential", "steps"))), (F.col("id") % 4 + 1).cast("int"))
+    ways = b.select(F.to_json(F.struct(F.lit("way").alias("type"), "id", refs.alias("nodes"), F.struct(use.alias("highway")).alias("tags"))).alias("value"))
+    nodes.unionByName(ways).write.text(place)
+    return X.read_elements(s, place)
+
+
+@query("scan_osm_overpass", "SELECT id, 'way' || CAST(row_number() OVER (ORDER BY id) - 1 AS VARCHAR) AS name, (xmax - xmin) * (ymax - ymin) AS area FROM f_building")
 def scan_osm_overpass(s, d):
-    return _geojson(s, d).select("id", F.concat(F.lit("building"), F.col("id").cast("string")).alias("name"))
+    """Ways closed into polygons through their nodes, named by key and ordinal."""
+    x = J.ranked(_osm(s, d), "id")
+    return x.select("id", F.concat(F.lit("way"), F.col("rank").cast("string")).alias("name"), G.area(F.col("ring")).alias("area"))
 
 
-@query("scan_osm_features", "SELECT id, (xmax - xmin + 4) * (ymax - ymin + 4) AS area FROM f_building WHERE hauteur IS NOT NULL")
+@query("scan_osm_features", "SELECT id, (xmax - xmin + 4) * (ymax - ymin + 4) AS area FROM f_building WHERE id % 4 <> 2")
 def scan_osm_features(s, d):
-    """Polygons by a tag, widened by 2 m with square corners."""
-    g = _geojson(s, d).where("hauteur IS NOT NULL").select("id", G.bounds(F.col("rings")[0]).alias("b"))
+    """Polygons whose tag is in a list, widened by 2 m with square corners."""
+    g = _osm(s, d).where(F.col("tags")["highway"].isin("footway", "pedestrian", "steps")).select("id", G.bounds(F.col("ring")).alias("b"))
     return g.select("id", ((F.col("b.xmax") - F.col("b.xmin") + 4) * (F.col("b.ymax") - F.col("b.ymin") + 4)).alias("area"))
 
 
-@query("scan_geoclimate", "SELECT id, hauteur AS avg_height FROM f_building")
+@query("scan_geoclimate", "SELECT 'block' AS layer, id, hauteur AS avg_height FROM f_building UNION ALL SELECT 'rsu', id, CAST(class_id AS DOUBLE) FROM f_landcover")
 def scan_geoclimate(s, d):
-    return _geojson(s, d).select("id", F.col("hauteur").alias("avg_height"))
+    """The two layers of indicators that a run leaves in its folder, each a collection of its own."""
+    block, rsu = _place(s), _place(s)
+    X.write_geojson(_rings(s, d).withColumnRenamed("hauteur", "AVG_HEIGHT"), block)
+    X.write_geojson(G.with_box(view(s, d, "f_landcover")).select("id", F.col("class_id").cast("double").alias("AVG_HEIGHT"), F.array("geom").alias("rings")), rsu)
+    one = lambda p, n: X.read_geojson(s, p, "id bigint, AVG_HEIGHT double").select(F.lit(n).alias("layer"), "id", F.col("AVG_HEIGHT").alias("avg_height"))
+    return one(block, "block").unionByName(one(rsu, "rsu"))
 
 
 def _shp(s, d) -> DataFrame:
@@ -215,12 +236,13 @@ def catalog_lookup(s, d):
     return _caps(s, d).where("title = 'Layer 7'").select("name", "title")
 
 
-@query("scan_wfs_cql", "SELECT id, hauteur FROM f_building WHERE hauteur > 20 AND xmin >= 100 AND xmax <= 500")
+@query("scan_wfs_cql", "SELECT id, hauteur FROM f_building WHERE hauteur > 20 AND NOT (id IN (3, 7)) AND xmin <= 500 AND xmax >= 100 AND ymin <= 400 AND ymax >= 50")
 def scan_wfs_cql(s, d):
-    """A service's filter as predicates that reach the scan."""
+    """A service's filter text, escaped as in its address, as predicates that reach the scan."""
     place = _place(s)
     view(s, d, B).write.parquet(place)
-    return s.read.parquet(place).where("hauteur > 20 AND xmin >= 100 AND xmax <= 500").select("id", "hauteur")
+    text = "hauteur%20%3E%2020%20AND%20NOT%20(id%20IN%20(3,7))%20AND%20BBOX(geometrie,100,50,500,400)"
+    return s.read.parquet(place).where(X.cql_predicate(text)).select("id", "hauteur")
 
 
 @query("scan_isochrone_api", "SELECT event_id, CAST(event_id % 30 AS INTEGER) AS minutes FROM events")
@@ -316,9 +338,11 @@ def epw_header(s, d):
     return view(s, d, "f_station").select(F.concat(F.lit("LOCATION,"), "name", F.lit(",-,-,-,-")).alias("line"))
 
 
-@query("dict_epw_columns", "SELECT CAST(35 AS INTEGER) AS n")
+@query("dict_epw_columns", "SELECT CAST(k AS INTEGER) AS place, name FROM (VALUES (6, 'drybulb'), (7, 'dewpoint'), (8, 'relhum'), (9, 'pressure'), (12, 'horirsky'), (13, 'glohorrad'), (14, 'dirnorrad'), (15, 'difhorrad'), (20, 'winddir'), (21, 'windspd')) t(k, name)")
 def dict_epw_columns(s, d):
-    return s.range(1).select(F.lit(len(X.EPW_COLUMNS)).alias("n"))
+    """The columns that models read by their place in a line."""
+    names = F.array(*map(F.lit, X.EPW_COLUMNS))
+    return s.range(1).select(F.posexplode(names).alias("place", "name")).where(F.col("place").isin(6, 7, 8, 9, 12, 13, 14, 15, 20, 21))
 
 
 _MET = "SELECT ts_h AS at, ws, rh, td, kdn FROM f_weather"
@@ -425,11 +449,17 @@ def sink_xlsx_report(s, d):
     return s.read.json(place, schema="class_id bigint, tiles bigint")
 
 
-@query("sink_h3_json", "SELECT CAST(floor(c / 8.0) AS BIGINT) AS q, CAST(floor(r / 8.0) AS BIGINT) AS h, MAX(v) AS val FROM f_pixel GROUP BY 1, 2")
+_HEX = G.hexagon_sql("(SELECT r AS row_, c AS col_, v FROM f_pixel)", "col_", "row_", 8.0, "v")
+
+
+@query("sink_h3_json", f"SELECT q, r, ROUND(8 * (sqrt(3) * q + sqrt(3) / 2 * r), 6) AS x, ROUND(8 * 1.5 * r, 6) AS y, MAX(v) AS val FROM ({_HEX}) t GROUP BY q, r")
 def sink_h3_json(s, d):
+    """Hexagons (planar) with their centres and values, as JSON lines."""
     place = _place(s)
-    view(s, d, "f_pixel").groupBy(F.floor(F.col("c") / 8.0).alias("q"), F.floor(F.col("r") / 8.0).alias("h")).agg(F.max("v").alias("val")).select(F.to_json(F.struct("q", "h", "val")).alias("value")).write.text(place)
-    return s.read.schema("q bigint, h bigint, val double").json(place)
+    h = view(s, d, "f_pixel").groupBy(G.hexagon(F.col("c").cast("double"), F.col("r").cast("double"), 8.0).alias("h")).agg(F.max("v").alias("val")).select("h.q", "h.r", "val")
+    x, y = 8 * (3**0.5 * F.col("q") + 3**0.5 / 2 * F.col("r")), 8 * 1.5 * F.col("r")
+    h.select(F.to_json(F.struct("q", "r", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), "val")).alias("value")).write.text(place)
+    return s.read.schema("q bigint, r bigint, x double, y double, val double").json(place)
 
 
 @query("sink_grid_average", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, ROUND(AVG(z), 6) AS v FROM f_point JOIN (SELECT unnest(generate_series(0, 20)) AS i) a ON abs(x - (i * 10 + 5)) < 11 JOIN (SELECT unnest(generate_series(0, 20)) AS j) b ON abs(y - (j * 10 + 5)) < 11 WHERE pow(x - (i * 10 + 5), 2) + pow(y - (j * 10 + 5), 2) <= 121 GROUP BY i, j")

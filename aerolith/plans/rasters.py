@@ -251,11 +251,14 @@ def raster_to_polygons(s, d):
     return _patches(_p(s, d).where("v >= 45").select("r", "c"))
 
 
-@query("agg_hex_last", "SELECT q, h, v FROM (SELECT CAST(floor(c / 4.0) AS BIGINT) AS q, CAST(floor(r / 4.0) AS BIGINT) AS h, v, row_number() OVER (PARTITION BY floor(c / 4.0), floor(r / 4.0) ORDER BY r DESC, c DESC) AS k FROM f_pixel) t WHERE k = 1")
+_HEX = G.hexagon_sql("(SELECT r AS row_, c AS col_, v FROM f_pixel)", "col_", "row_", 4.0, "row_, col_, v")
+
+
+@query("agg_hex_last", f"SELECT q, r, v FROM (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY row_ DESC, col_ DESC) AS k FROM ({_HEX}) h) t WHERE k = 1")
 def agg_hex_last(s, d):
-    """The last pixel of each cell of a coarser planar index (not the public hexagon system, which is not at hand)."""
+    """The last pixel of each hexagon (planar hexagons, not the public system of the sphere)."""
     k = F.max(F.struct("r", "c", "v")).alias("m")
-    return _p(s, d).groupBy(F.floor(F.col("c") / 4.0).alias("q"), F.floor(F.col("r") / 4.0).alias("h")).agg(k).select("q", "h", "m.v")
+    return _p(s, d).groupBy(G.hexagon(F.col("c").cast("double"), F.col("r").cast("double"), 4.0).alias("h")).agg(k).select("h.q", "h.r", "m.v")
 
 
 # Point clouds -------------------------------------------------------------------------------------------------------------------------------
@@ -480,12 +483,33 @@ def urban_types(s, d):
     return c.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("area"), 3).alias("area"), F.round(F.avg("height"), 3).alias("height"))
 
 
-@query("svf_vector", "SELECT id, ROUND(AVG(1 - pow(h / sqrt(h * h + dd * dd), 2)), 6) AS svf FROM (SELECT id, COALESCE(hauteur, 3) AS h, 10.0 + k * 2 AS dd FROM f_building CROSS JOIN (SELECT unnest(generate_series(0, 9)) AS k) g) t GROUP BY id")
+_PI = 3.141592653589793
+_RAYS, _REACH = 16, 60.0
+_DIRECTION = "SELECT k, sin(2 * pi() * (k + 0.3) / 16) AS dx, cos(2 * pi() * (k + 0.3) / 16) AS dy FROM (SELECT unnest(generate_series(0, 15)) AS k) g"
+_SLAB = "greatest(least((b.xmin - p.x) / dx, (b.xmax - p.x) / dx), least((b.ymin - p.y) / dy, (b.ymax - p.y) / dy))"
+_FAR = "least(greatest((b.xmin - p.x) / dx, (b.xmax - p.x) / dx), greatest((b.ymin - p.y) / dy, (b.ymax - p.y) / dy))"
+
+
+@query(
+    "svf_vector",
+    f"WITH p AS (SELECT id, xmin - 2 AS x, ymin - 2 AS y FROM f_building), near AS (SELECT p.id, p.x, p.y, b.xmin, b.ymin, b.xmax, b.ymax, COALESCE(b.hauteur, 3) AS h FROM p JOIN f_building b ON b.xmin <= p.x + 60 AND b.xmax >= p.x - 60 AND b.ymin <= p.y + 60 AND b.ymax >= p.y - 60), "
+    f"hit AS (SELECT p.id, k, h, {_SLAB.replace('b.', 'p.')} AS t0, {_FAR.replace('b.', 'p.')} AS t1 FROM near p, ({_DIRECTION}) g), top AS (SELECT id, k, MAX(h / t0) AS slope FROM hit WHERE t0 <= t1 AND t0 > 0 AND t0 <= 60 GROUP BY id, k) "
+    "SELECT p.id, ROUND(1 - COALESCE(SUM(slope * slope / (1 + slope * slope)), 0) / 16, 6) AS svf FROM p LEFT JOIN top ON top.id = p.id GROUP BY p.id",
+)
 def svf_vector(s, d):
-    """Sky view in front of a facade: mean of the squared cosine of the horizon over ten rays."""
-    h = F.coalesce("hauteur", F.lit(3.0))
-    rays = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: 1 - F.pow(h / F.sqrt(h * h + (10.0 + k * 2) * (10.0 + k * 2)), 2))
-    return view(s, d, B).select("id", F.round(F.aggregate(rays, F.lit(0.0), lambda a, x: a + x) / 10, 6).alias("svf"))
+    """Sky seen from the ground 2 m off a building's corner: 16 rays of 60 m, the horizon of each by the building on it that stands highest above the view, mean of the squared cosine."""
+    b = view(s, d, B)
+    x, y = F.col("xmin") - 2, F.col("ymin") - 2
+    eyes = b.select("id", (x - _REACH).alias("xmin"), (y - _REACH).alias("ymin"), (x + _REACH).alias("xmax"), (y + _REACH).alias("ymax"), x.alias("x"), y.alias("y"))
+    met = J.boxes_that_meet(eyes, b, 64.0).select("a.id", "a.x", "a.y", *[F.col(f"b.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.coalesce("b.hauteur", F.lit(3.0)).alias("h"))
+    r = met.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_RAYS - 1))))
+    turn = 2 * _PI * (F.col("k") + 0.3) / _RAYS
+    dx, dy = F.sin(turn), F.cos(turn)
+    ends = [((F.col(f"{c}min") - F.col(c)) / v, (F.col(f"{c}max") - F.col(c)) / v) for c, v in (("x", dx), ("y", dy))]
+    t0, t1 = F.greatest(*[F.least(*e) for e in ends]), F.least(*[F.greatest(*e) for e in ends])
+    top = r.select("id", "k", "h", t0.alias("t0"), t1.alias("t1")).where(f"t0 <= t1 AND t0 > 0 AND t0 <= {_REACH}").groupBy("id", "k").agg(F.max(F.col("h") / F.col("t0")).alias("slope"))
+    hidden = top.groupBy("id").agg(F.sum(F.col("slope") * F.col("slope") / (1 + F.col("slope") * F.col("slope"))).alias("hidden"))
+    return b.select("id").join(hidden, "id", "left").select("id", F.round(1 - F.coalesce("hidden", F.lit(0.0)) / _RAYS, 6).alias("svf"))
 
 
 QUERIES, ORACLES = book.queries, book.oracles

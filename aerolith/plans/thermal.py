@@ -218,13 +218,17 @@ def uwg_json_roundtrip(s, d):
     return j.select(F.from_json("j", "id bigint, w double, l double, h double").alias("o")).select("o.*")
 
 
-@query("uwg_week_validity", "SELECT r, CAST(3 AS INTEGER) AS days FROM (SELECT DISTINCT r FROM f_pixel) t")
+_KIND = "CASE isodow(ts_h) WHEN 6 THEN 'saturday' WHEN 7 THEN 'sunday' ELSE 'weekday' END"
+
+
+@query("uwg_week_validity", f"SELECT kind, CAST(COUNT(*) AS INTEGER) AS hours, COUNT(*) = 24 AND MIN(share) >= 0 AND MAX(share) <= 1 AS valid FROM (SELECT {_KIND} AS kind, hour(ts_h) AS h, AVG(rh) / 100 AS share FROM f_weather GROUP BY 1, 2) t GROUP BY kind")
 def uwg_week_validity(s, d):
-    """Schedules are three days of 24 hours, or the query fails."""
-    week = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.sequence(F.lit(0), F.lit(23)))
-    x = view(s, d, "f_pixel").select("r").distinct().withColumn("week", week)
-    ok = F.assert_true((F.size("week") == 3) & F.forall("week", lambda day: F.size(day) == 24), F.lit("a schedule is 3 x 24"))
-    return x.withColumn("ok", ok).where("ok IS NULL").select("r", F.size("week").alias("days"))
+    """Schedules of a week (weekday, Saturday, Sunday) from hourly means: valid with 24 hours each, every value a share."""
+    day = F.weekday("ts_h")
+    kind = F.when(day == 5, "saturday").when(day == 6, "sunday").otherwise("weekday")
+    hours = view(s, d, "f_weather").groupBy(kind.alias("kind"), F.hour("ts_h").alias("h")).agg((F.avg("rh") / 100).alias("share"))
+    week = hours.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("h", "share"))).alias("day"))
+    return week.select("kind", F.size("day").alias("hours"), ((F.size("day") == 24) & F.forall("day", lambda x: x["share"].between(0, 1))).alias("valid"))
 
 
 @query("uwg_z_mesh", "SELECT CAST(k AS INTEGER) AS k, 10.0 * k * (k + 1) / 2 AS z, CAST(10.0 * (k + 1) AS DOUBLE) AS dz FROM (SELECT unnest(generate_series(0, 54)) AS k) g")

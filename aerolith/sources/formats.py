@@ -7,6 +7,7 @@ import math
 import re
 import sqlite3
 import struct
+import urllib.parse
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -354,6 +355,24 @@ def read_dxf(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return _files(spark, path).mapInArrow(kernel, f"file string, layer string, ring array<{POINT}>")
 
 
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(id, tags, ring) of the closed ways of a map's elements, one element a line: ways are joined with their nodes, in order. A way with a missing node is left out."""
+    e = spark.read.schema("type string, id bigint, lat double, lon double, nodes array<bigint>, tags map<string,string>").json(path)
+    nodes = e.where("type = 'node'").select(F.col("id").alias("node"), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p"))
+    ways = e.where("type = 'way' and size(nodes) >= 4 and nodes[0] = element_at(nodes, -1)")
+    at = ways.select("id", F.size("nodes").alias("n"), F.posexplode("nodes").alias("k", "node")).join(nodes, "node")
+    rings = at.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("r")).where("size(r) = n").select("id", F.transform("r", lambda v: v["p"]).alias("ring"))
+    return ways.select("id", "tags").join(rings, "id")
+
+
+def cql_predicate(text: str) -> Column:
+    """A service's filter (comparisons, AND, OR, NOT, IN, LIKE, IS NULL, and BBOX of a layer with xmin .. ymax), which may be escaped for an address."""
+    number = r"\s*([-+0-9.eE]+)\s*"
+    plain = urllib.parse.unquote(text)
+    plain = re.sub(rf"(?i)\bBBOX\s*\(\s*\w+\s*,{number},{number},{number},{number}(?:,[^)]*)?\)", r"(xmin <= \3 AND xmax >= \1 AND ymin <= \4 AND ymax >= \2)", plain)
+    return F.expr(plain)
+
+
 def read_capabilities(spark: SparkSession, path: str) -> DataFrame:
     """(name, title, crs, abstract) of the feature types of capabilities documents, namespaces stripped, wholly empty rows left out."""
     text = spark.read.text(path, wholetext=True)
