@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.lookups import POINT_CLASSES, case, lookup
-from ..operators import clip, components
+from ..operators import clip, components, polygons
 from ..operators import joins as J
 from .base import Book, view
 
@@ -224,10 +224,9 @@ def raster_sample_points(s, d):
 
 @query("raster_ndvi_polygons")
 def raster_ndvi_polygons(s, d):
-    """Vegetation patches: pixels above the threshold, joined where they touch by a side, with their area; patches of one pixel are dropped."""
+    """Vegetation patches as polygons: pixels above the threshold, joined where they touch by a side; patches of one pixel are dropped."""
     i = F.try_divide(F.col("v") - 25, F.col("v") + 25)
-    g = _patches(_p(s, d).where(i >= 0.2).select("r", "c"))
-    return g.where("area > 1")
+    return _patches(_p(s, d).where(i >= 0.2).select("r", "c")).where("area > 1")
 
 
 #: From one row of cells to the next in the numbering of cells; no raster is as wide.
@@ -239,15 +238,17 @@ def _cell_id():
 
 
 def _patches(px: DataFrame) -> DataFrame:
-    """(component, area, bounds) of 4-connected pixels."""
+    """(component, area, outlines, rings) of 4-connected pixels: their squares dissolved, holes included."""
     n = px.select(_cell_id().alias("id"), "r", "c")
     links = n.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 1, F.col("id") + _ROW)).alias("b")).join(n.select(F.col("id").alias("b")), "b", "left_semi")
-    return components.connected(n.select("id"), links).join(n, "id").groupBy("component").agg(F.count("*").alias("area"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    square = F.array(G.box_ring(F.col("c").cast("double"), F.col("r").cast("double"), F.col("c") + 1.0, F.col("r") + 1.0))
+    cells = components.connected(n.select("id"), links).join(n, "id").select("component", square.alias("rings"))
+    return polygons.dissolve(cells, "component", 2.0).select("component", polygons.area_of("rings").alias("area"), F.size("rings").alias("outlines"), "rings")
 
 
 @query("raster_to_polygons")
 def raster_to_polygons(s, d):
-    """Zones of pixels of one class, 4-connected, as components with area and bounds."""
+    """Zones of pixels of one class, 4-connected, as polygons."""
     return _patches(_p(s, d).where("v >= 45").select("r", "c"))
 
 
@@ -416,11 +417,17 @@ def agg_convex_hull(s, d):
     return h.select("cls", "b.xmin", "b.xmax", "b.ymin", "b.ymax")
 
 
-@query("agg_concave_hull")
+@query("agg_concave_hull", "SELECT cls, ROUND(COUNT(*) * 25.0, 4) AS area FROM (SELECT DISTINCT cls, floor(x / 5), floor(y / 5) FROM f_point) t GROUP BY cls")
 def agg_concave_hull(s, d):
-    """An outline of reachable points finer than the hull: hulls of their 50 m cells."""
-    p = view(s, d, "f_point").withColumn("cell", F.floor(F.col("x") / 50) * 10 + F.floor(F.col("y") / 50))
-    return clip.hulls(p.select("cell", "x", "y"), "cell").select("cell", F.round(G.area(F.col("hull")), 6).alias("area"))
+    """The outline of each class's points, not finer than 5 m: the squares of a grid that hold points, dissolved. Hollows and gaps wider than that stay open."""
+    i, j = F.floor(F.col("x") / 5), F.floor(F.col("y") / 5)
+    return outline(view(s, d, "f_point").select("cls", i.alias("i"), j.alias("j")), "cls", 5.0).select("cls", F.round(polygons.area_of("rings"), 4).alias("area"))
+
+
+def outline(cells: DataFrame, key: str, size: float) -> DataFrame:
+    """(``key``, rings) of grid squares ``i``, ``j`` of side ``size``, dissolved."""
+    x, y = F.col("i") * size, F.col("j") * size
+    return polygons.dissolve(cells.distinct().select(key, F.array(G.box_ring(x, y, x + size, y + size)).alias("rings")), key, 2 * size)
 
 
 # Graphs -------------------------------------------------------------------------------------------------------------------------------------
@@ -461,11 +468,13 @@ def graph_dijkstra(s, d):
     return components.shortest(view(s, d, "f_edge"), 1)
 
 
-@query("graph_isochrones", f"SELECT CAST(m AS INTEGER) AS minutes, CAST(COUNT(*) AS BIGINT) AS n FROM ({_PATHS.replace('WITH RECURSIVE ', 'WITH RECURSIVE ')}) t JOIN (SELECT unnest([20, 40, 60]) AS m) g ON t.t <= m GROUP BY m")
+@query("graph_isochrones", f"SELECT CAST(m AS INTEGER) AS minutes, CAST(COUNT(*) AS BIGINT) AS n, ROUND(COUNT(DISTINCT node) * 10000.0, 4) AS area FROM ({_PATHS}) t JOIN (SELECT unnest([20, 40, 60]) AS m) g ON t.t <= m GROUP BY m")
 def graph_isochrones(s, d):
+    """What is reached within 20, 40 and 60 minutes, and the outline of it: nodes stand on a grid of 100 m, and their squares are dissolved."""
     t = components.shortest(view(s, d, "f_edge"), 1)
-    within = t.select(F.explode(F.filter(F.array(F.lit(20), F.lit(40), F.lit(60)), lambda m: F.col("t") <= m)).alias("minutes"))
-    return within.groupBy("minutes").agg(F.count("*").alias("n"))
+    within = t.select("node", F.explode(F.filter(F.array(F.lit(20), F.lit(40), F.lit(60)), lambda m: F.col("t") <= m)).alias("minutes"))
+    hull = outline(within.select("minutes", F.floor(F.col("node") / 10).alias("i"), (F.col("node") % 10).alias("j")), "minutes", 100.0)
+    return within.groupBy("minutes").agg(F.count("*").alias("n")).join(hull, "minutes").select("minutes", "n", F.round(polygons.area_of("rings"), 4).alias("area"))
 
 
 @query("urban_types")

@@ -89,3 +89,23 @@ def test_ranked(spark):
     keys = random.Random(7).sample(range(10**6), 500)
     got = {x.k: x.rank for x in J.ranked(spark.createDataFrame([(k,) for k in keys], "k bigint"), "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_crowns_on_a_wide_raster(spark):
+    """Two crowns that meet, in a raster wider than a thousand columns; the last column is no neighbour of the next row's first."""
+    from aerolith.plans.rasters import _ROW, crowns
+
+    rows = [(0 * _ROW + c, h) for c, h in ((1500, 3.0), (1501, 5.0), (1502, 4.0), (1503, 6.0), (1504, 2.0))] + [(1 * _ROW + 0, 9.0), (1 * _ROW + 1500, 3.0)]
+    got = {r.id: r.component for r in crowns(spark.createDataFrame(rows, "id bigint, chm double")).collect()}
+    groups = {}
+    for i, k in got.items():
+        groups.setdefault(k, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted([[1500, 1501, _ROW + 1500], [1502, 1503, 1504], [_ROW]])
+
+
+def test_patches_have_outlines_and_holes(spark):
+    from aerolith.plans.rasters import _patches
+
+    ring = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(10, 2000), (10, 2001)]
+    got = sorted((r.area, r.outlines) for r in _patches(spark.createDataFrame(ring, "r bigint, c bigint")).collect())
+    assert got == [(2.0, 1), (8.0, 2)]
