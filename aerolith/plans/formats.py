@@ -333,9 +333,16 @@ def uwg_write_epw(s, d):
     return X.read_epw(s, place).select("month", "day", "hour", "drybulb", "relhum", "windspd")
 
 
-@query("epw_header", "SELECT 'LOCATION,' || name || ',-,-,-,-' AS line FROM f_station")
+@query(
+    "epw_header",
+    "SELECT sid, CAST(k AS INTEGER) AS line, CASE k WHEN 0 THEN 'LOCATION,' || name || ',-,-,-,-,' || CAST(CAST(lat AS DECIMAL(9, 4)) AS VARCHAR) || ',' || CAST(CAST(lon AS DECIMAL(9, 4)) AS VARCHAR) || ',1.0,0.0' WHEN 1 THEN 'DESIGN CONDITIONS,0' WHEN 2 THEN 'TYPICAL/EXTREME PERIODS,0' "
+    "WHEN 3 THEN 'GROUND TEMPERATURES,0' WHEN 4 THEN 'HOLIDAYS/DAYLIGHT SAVINGS,No,0,0,0' WHEN 5 THEN 'COMMENTS 1,' WHEN 6 THEN 'COMMENTS 2,' ELSE 'DATA PERIODS,1,1,Data,Sunday,1/1,12/31' END AS text FROM f_station CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS k) g",
+)
 def epw_header(s, d):
-    return view(s, d, "f_station").select(F.concat(F.lit("LOCATION,"), "name", F.lit(",-,-,-,-")).alias("line"))
+    """The eight lines in front of a station's weather file."""
+    place = F.concat(F.lit("LOCATION,"), "name", F.lit(",-,-,-,-,"), F.col("lat").cast("decimal(9,4)").cast("string"), F.lit(","), F.col("lon").cast("decimal(9,4)").cast("string"), F.lit(",1.0,0.0"))
+    rest = X.epw_header("", 0.0, 0.0, 0.0, 0.0)[1:]
+    return view(s, d, "f_station").select("sid", F.posexplode(F.array(place, *map(F.lit, rest))).alias("line", "text"))
 
 
 @query("dict_epw_columns", "SELECT CAST(k AS INTEGER) AS place, name FROM (VALUES (6, 'drybulb'), (7, 'dewpoint'), (8, 'relhum'), (9, 'pressure'), (12, 'horirsky'), (13, 'glohorrad'), (14, 'dirnorrad'), (15, 'difhorrad'), (20, 'winddir'), (21, 'windspd')) t(k, name)")
