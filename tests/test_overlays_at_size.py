@@ -1,5 +1,7 @@
 """Overlays of many small shapes: whole batches at once, in several tasks."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -35,3 +37,17 @@ def test_overlaps(spark):
     cases = [(box(0, 0, 4), box(2, 2, 4), True), (box(0, 0, 4), box(1, 1, 2), False), (box(1, 1, 2), box(0, 0, 4), False), (box(0, 0, 4), box(4, 0, 4), False), (box(0, 0, 4), box(0, 0, 4), False), (box(0, 0, 4), box(9, 9, 1), False)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], f"id int, a {P.RINGS}, b {P.RINGS}")
     assert [x.o for x in df.select("id", P.overlaps("a", "b").alias("o")).orderBy("id").collect()] == [w for *_, w in cases]
+
+
+def boxes(n, pitch, width):
+    return [[np.array([(x, y), (x + width, y), (x + width, y + width), (x, y + width), (x, y)], float)] for x in np.arange(n) * pitch for y in np.arange(n) * pitch]
+
+
+def test_many_outlines_unite_at_once():
+    began = time.perf_counter()
+    whole, apart = P.union(boxes(70, 25.0, 30.0)), P.union(boxes(70, 25.0, 20.0))
+    assert time.perf_counter() - began < 10
+    assert len(whole) == 1 and len(whole[0]) == 5 and P.area(whole) == (69 * 25 + 30) ** 2
+    assert len(apart) == 4900 and P.area(apart) == 4900 * 400
+    frame = P.overlay([boxes(1, 1.0, 100.0)[0][0]], [boxes(1, 1.0, 60.0)[0][0] + 20], "minus")
+    assert P.area(P.union([frame, boxes(1, 1.0, 30.0)[0]])) == 6400 + 100 and P.area(P.union([frame, frame])) == 6400
