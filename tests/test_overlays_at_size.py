@@ -51,3 +51,26 @@ def test_many_outlines_unite_at_once():
     assert len(apart) == 4900 and P.area(apart) == 4900 * 400
     frame = P.overlay([boxes(1, 1.0, 100.0)[0][0]], [boxes(1, 1.0, 60.0)[0][0] + 20], "minus")
     assert P.area(P.union([frame, boxes(1, 1.0, 30.0)[0]])) == 6400 + 100 and P.area(P.union([frame, frame])) == 6400
+
+
+def test_groups_lose_all_their_others():
+    r = np.random.default_rng(3)
+    a = [[star(r, 8, 0, 0)] for _ in range(9)]
+    sizes = [0, 1, 30, 2, 0, 5, 55, 1, 3]
+    others = [[star(r, 5, *r.uniform(-9, 9, 2))] for _ in range(sum(sizes))]
+    got = P.regions_of(P.minus_groups(P.as_column(a), P.as_column(others), np.repeat(np.arange(9), sizes)))
+    for k, (x, z) in enumerate(zip(a, got, strict=True)):
+        own = others[sum(sizes[:k]) : sum(sizes[: k + 1])]
+        assert abs(P.area(z) - P.area(P.minus_all(P.valid(x), own))) < 1e-3 or not sizes[k]
+
+
+def test_groups_go_on_in_the_next_batch(spark):
+    ring = lambda x, y, w: [[{"x": float(u), "y": float(v)} for u, v in ((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))]]
+    a = spark.createDataFrame([(i, ring(10 * i, 0, 8)) for i in range(12)], f"id int, rings {P.RINGS}")
+    b = spark.createDataFrame([(100 * i + k, ring(10 * i + k, 0, 1)) for i in range(11) for k in range(7)], f"id int, rings {P.RINGS}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {x.id: x.s for x in P.difference(a, b, 8.0).select("id", P.area_of("rings").alias("s")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: 57.0 for i in range(11)} | {11: 64.0}
