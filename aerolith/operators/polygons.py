@@ -536,7 +536,7 @@ def difference(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"id": ids, "rings": left})
 
     cut_down = spread(met, "a_id").sortWithinPartitions("a_id").mapInArrow(kernel, f"id {kind}, rings {RINGS}")
-    whole = _boxed(a).select("id", "rings").join(met.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
+    whole = _boxed(a).select("id", "rings").join(J.merged(met.select(F.col("a_id").alias("id")).distinct()), "id", "left_anti")
     return cut_down.where(F.size("rings") > 0).unionByName(whole)
 
 
