@@ -402,10 +402,11 @@ def valid_column(rings: pa.Array) -> pa.Array:
     return _closed(*arranged([(rings, rows, np.zeros_like(rows))], len(rings), 1).regions(lambda in_: in_[:, 0]))
 
 
-def _united(rings: pa.Array) -> pa.Array:
-    """One row: the union of all rows, which are valid."""
+def _united(rings: pa.Array, group: np.ndarray | None = None) -> pa.Array:
+    """A row for each group (0 .. in order; without them, one): the union of its rows, which are valid."""
     none = np.zeros(len(rings), np.int64)
-    return _closed(*arranged([(rings, none, none)], 1, 0).regions(lambda in_: in_[:, 0]))
+    group = none if group is None else group
+    return _closed(*arranged([(rings, group, none)], int(group.max(initial=0)) + 1, 0).regions(lambda in_: in_[:, 0]))
 
 
 def areas(xy: np.ndarray, ring: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -549,6 +550,30 @@ def union_of_layers(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return both.unionByName(left).unionByName(right)
 
 
+def united_runs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The union of each group's shapes, of a batch's groups at once. Rows come in order of ``names``; of the last group there may be more in the next batch."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for t in batches:
+            if not t.num_rows:
+                continue
+            keys, rings = {n: t.column(n) for n in names}, valid_column(t.column("rings"))
+            if held is not None:
+                keys, rings = {n: pa.concat_arrays([held[0][n], c]) for n, c in keys.items()}, _together(held[1], rings)
+            new = np.ones(len(rings), bool)
+            new[1:] = np.any([np.diff(c.dictionary_encode("encode").indices.to_numpy()) != 0 for c in keys.values()], axis=0)
+            begin = pa.array(np.flatnonzero(new))
+            keys, rings = {n: c.take(begin) for n, c in keys.items()}, _united(rings, np.cumsum(new) - 1)
+            last = len(rings) - 1
+            yield pa.RecordBatch.from_pydict({n: c.slice(0, last) for n, c in keys.items()} | {"rings": rings.slice(0, last)})
+            held = {n: c.slice(last) for n, c in keys.items()}, rings.slice(last)
+        if held is not None:
+            yield pa.RecordBatch.from_pydict(held[0] | {"rings": held[1]})
+
+    return kernel
+
+
 def dissolve(layer: DataFrame, key: str, size: float) -> DataFrame:
     """(``key``, rings): the union of each key's shapes. First by cell, then of the cells' outlines."""
     kind = layer.schema[key].dataType.simpleString()
@@ -567,6 +592,5 @@ def dissolve(layer: DataFrame, key: str, size: float) -> DataFrame:
 
     first = F.col("rings")[0][0]
     cells = layer.where("rings is not null and size(rings) > 0").select(F.col(key).alias("k"), F.floor(first["x"] / (8 * size)).alias("i"), F.floor(first["y"] / (8 * size)).alias("j"), "rings")
-    plain = spread(cells, "k", "i", "j").select("k", "i", "j", valid_of("rings").alias("rings"))
-    some = plain.groupBy("k", "i", "j").applyInArrow(kernel(["k", "i", "j"]), f"k {kind}, i bigint, j bigint, rings {RINGS}").select("k", "rings")
+    some = spread(cells, "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(united_runs(["k", "i", "j"]), f"k {kind}, i bigint, j bigint, rings {RINGS}").select("k", "rings")
     return spread(some, "k").groupBy("k").applyInArrow(kernel(["k"]), f"k {kind}, rings {RINGS}").withColumnRenamed("k", key)
