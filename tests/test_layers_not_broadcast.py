@@ -14,3 +14,8 @@ def test_union_of_layers_is_not_broadcast(spark, folder, name):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10_000_000
     p = plan(registry.queries()[name](spark, folder))
     assert "SortMergeJoin" in p and "Broadcast" not in p
+
+
+def test_zones_are_not_broadcast(spark, folder):
+    p = plan(registry.queries()["wind_superimpose"](spark, folder))
+    assert "SortMergeJoin" in p and "Broadcast" not in p
